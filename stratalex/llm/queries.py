@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stratalex.llm import leakage, packing, splitting, truncation
+from stratalex.llm import leakage, lookalikes, packing, splitting, truncation
 from stratalex.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,19 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_pieces(spark, sf_dir).select("paragraph_id").distinct()
 
 
+def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = table(spark, sf_dir, "records")
+    texts = lookalikes.lookalike_texts(records, "paragraph_id", "paragraph_text")
+    titles = lookalikes.lookalike_titles(records, "paragraph_id", "article", "source", table(spark, sf_dir, "article_map"))
+    return texts.select("paragraph_id", F.lit("paragraph_text").alias("field_name"), "canonical").unionByName(
+        titles.select("paragraph_id", F.lit("article").alias("field_name"), "canonical")
+    )
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_canonical(spark, sf_dir).select("paragraph_id", "field_name").distinct()
+
+
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -46,7 +60,7 @@ def p9_share_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p7_packed, p8_found, p8_leaks, p9_found, p9_cut, p9_share_by_source)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_canonical, p7_packed, p8_found, p8_leaks, p9_found, p9_cut, p9_share_by_source)}
 
 
 def oracle_sql() -> dict[str, str]:
