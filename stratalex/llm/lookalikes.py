@@ -80,8 +80,8 @@ def coarse_map() -> tuple[str, str]:
         ch = chr(cp)
         if unicodedata.category(ch) == "Mn":
             drop.append(ch)
-        elif ch not in plain:
-            base = unicodedata.normalize("NFD", ch)
+        else:
+            base = unicodedata.normalize("NFD", plain.get(ch, ch))
             if len(base) > 1 and all(unicodedata.category(x) == "Mn" for x in base[1:]):
                 plain[ch] = plain.get(base[0], base[0])
     drop = list(dict.fromkeys(drop))
