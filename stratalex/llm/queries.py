@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalex.llm import leakage, lookalikes, packing, splitting, truncation
+from stratalex.llm import leakage, lookalikes, packing, scan_noise, sentences, splitting, truncation
 from stratalex.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,30 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_canonical(spark, sf_dir).select("paragraph_id", "field_name").distinct()
 
 
+def p4_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = table(spark, sf_dir, "records").filter("page_type = 'body' and text_source = 'pdf_text_layer'")
+    return sentences.sentences(body, "paragraph_id", "paragraph_text").distinct()
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = table(spark, sf_dir, "records").filter("page_type = 'body' and text_source = 'pdf_text_layer'")
+    return sentences.sentences(body, "paragraph_id", "paragraph_text").select("paragraph_id", "end_pos").distinct()
+
+
+def _body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "records").filter("page_type = 'body'").withColumn("scanned", F.col("text_source").isNull() | (F.col("text_source") != "pdf_text_layer"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_noise.marked(_body(spark, sf_dir), "paragraph_id", "paragraph_text", "source", ["book", "section", "article"], "scanned")
+    return found.distinct()
+
+
+def p5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = scan_noise.marked(_body(spark, sf_dir), "paragraph_id", "paragraph_text", "source", ["book", "section", "article"], "scanned", lines=True)
+    return scan_noise.paragraphs(lines, "paragraph_id")
+
+
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -60,7 +84,7 @@ def p9_share_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_canonical, p7_packed, p8_found, p8_leaks, p9_found, p9_cut, p9_share_by_source)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_canonical, p4_found, p4_sentences, p5_found, p5_paragraphs, p7_packed, p8_found, p8_leaks, p9_found, p9_cut, p9_share_by_source)}
 
 
 def oracle_sql() -> dict[str, str]:
