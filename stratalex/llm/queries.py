@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalex.llm import leakage, lookalikes, packing, scan_noise, sentences, splitting, truncation
+from stratalex.llm import leakage, lookalikes, near_duplicates, packing, scan_noise, sentences, shared_spans, splitting, truncation
 from stratalex.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_pieces(spark, sf_dir).select("paragraph_id").distinct()
 
 
+def p2_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quotes = table(spark, sf_dir, "core_classics").select(F.explode("quotes").alias("quote"))
+    return shared_spans.shared_text(table(spark, sf_dir, "records"), "paragraph_id", "paragraph_text", quotes, "quote")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_shared(spark, sf_dir).filter(F.col("longest_span") >= shared_spans.LEAST).select("paragraph_id").distinct()
+
+
 def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "records")
     texts = lookalikes.lookalike_texts(records, "paragraph_id", "paragraph_text")
@@ -58,6 +67,18 @@ def p5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_noise.paragraphs(lines, "paragraph_id")
 
 
+def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.similar_pairs(table(spark, sf_dir, "records"), "paragraph_id", "paragraph_text")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_pairs(spark, sf_dir).select("paragraph_id_a", "paragraph_id_b").distinct()
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.groups(table(spark, sf_dir, "records"), "paragraph_id", "paragraph_text")
+
+
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -84,7 +105,7 @@ def p9_share_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_canonical, p4_found, p4_sentences, p5_found, p5_paragraphs, p7_packed, p8_found, p8_leaks, p9_found, p9_cut, p9_share_by_source)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_shared, p3_found, p3_canonical, p4_found, p4_sentences, p5_found, p5_paragraphs, p6_found, p6_pairs, p6_groups, p7_packed, p8_found, p8_leaks, p9_found, p9_cut, p9_share_by_source)}
 
 
 def oracle_sql() -> dict[str, str]:
