@@ -29,3 +29,18 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+def _load() -> None:
+    """Import the modules that register queries."""
+    import importlib
+    import pkgutil
+
+    from stratalex import plans
+
+    for m in pkgutil.iter_modules(plans.__path__):
+        if m.name.startswith("q_"):
+            importlib.import_module(f"stratalex.plans.{m.name}")
+
+
+_load()
