@@ -54,15 +54,23 @@ def sparse_form(x: Column | str) -> Column:
     return F.regexp_replace(F.lower(c(x)), f"[{BLANKS}{SPARSE_NOISE}]+", "")
 
 
+def bound(x: Column, f) -> Column:
+    """f(x) with x evaluated once: inside a lambda an expression would be evaluated for each element."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def _grams(x: Column, n: int) -> Column:
+    made = F.transform(F.sequence(F.lit(1), F.length(x) - (n - 1)), lambda i: F.substring(x, i, F.lit(n)))
+    return F.when(F.length(x) >= n, made).otherwise(F.array().cast("array<string>"))
+
+
 def grams(x: Column, n: int) -> Column:
     """All substrings of n code points, in order."""
-    return F.when(F.length(x) >= n, F.transform(F.sequence(F.lit(1), F.length(x) - (n - 1)), lambda i: F.substring(x, i, F.lit(n)))).otherwise(
-        F.array().cast("array<string>")
-    )
+    return bound(x, lambda s: _grams(s, n))
 
 
 def _run_grams(run: Column) -> Column:
-    return F.when(F.length(run) <= 2, F.array(run)).otherwise(F.concat(grams(run, 2), grams(run, 3)))
+    return F.when(F.length(run) <= 2, F.array(run)).otherwise(F.concat(_grams(run, 2), _grams(run, 3)))
 
 
 def tokens(x: Column | str) -> Column:
@@ -118,8 +126,12 @@ def preview(x: Column | str, limit: int) -> Column:
 
 def overlap_score(query: Column, page: Column, sizes: tuple[int, ...] = (8, 6, 4, 2)) -> Column:
     """Sum of the squared lengths of the distinct substrings of the query, of the sizes, that the page contains."""
-    terms = F.array_distinct(F.flatten(F.array(*[grams(query, n) for n in sizes])))
-    return F.aggregate(F.filter(terms, lambda t: F.contains(page, t)), F.lit(0).cast("long"), lambda s, t: s + (F.length(t) * F.length(t)).cast("long"))
+    def score(pair: Column) -> Column:
+        terms = F.array_distinct(F.flatten(F.array(*[_grams(pair["q"], n) for n in sizes])))
+        held = F.filter(terms, lambda t: F.contains(pair["p"], t))
+        return F.aggregate(held, F.lit(0).cast("long"), lambda s, t: s + (F.length(t) * F.length(t)).cast("long"))
+
+    return bound(F.struct(query.alias("q"), page.alias("p")), score)
 
 
 def ordered_distinct(values: Column, key=None, most: int | None = None) -> Column:

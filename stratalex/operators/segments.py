@@ -28,26 +28,33 @@ def chunked(df: DataFrame, key: str, text: str, size: int = 320, overlap: int =
 def packed_parents(df: DataFrame, key: list[str], page: str, order: list[str], text: str, most: int) -> DataFrame:
     """Paragraphs packed into parents: a new parent on a page gap over 1 or when the running length would pass `most`.
 
-    Gaps are window islands; the running length restarts inside an island, a fold over the rows of one page run.
+    Gaps are window islands; the running length is a fold, which streams over rows sorted within partitions, so that no
+    group is held in memory.
     """
     w = Window.partitionBy(*key).orderBy(*order)
     island = F.sum(F.when(F.col(page) - F.lag(page).over(w) > 1, 1).otherwise(0)).over(w)
     rows = df.withColumn("island", island).withColumn("_n", F.length(text))
+    group = [*key, "island"]
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "_n") + ", parent_no int"
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        parents, parent, size = [], 0, 0
-        for n in pdf["_n"]:
-            if size and size + n > most:
-                parent, size = parent + 1, 0
-            size += n
-            parents.append(parent)
-        out = pdf.drop(columns="_n")
-        out["parent_no"] = parents
-        return out
-
-    return rows.groupBy(*key, "island").applyInPandas(pack, schema)
+    def pack(batches):
+        last, parent, size = None, 0, 0
+        for pdf in batches:
+            parents = []
+            for *k, n in pdf[[*group, "_n"]].itertuples(index=False, name=None):
+                k = tuple(None if x != x else x for x in k)
+                if k != last:
+                    last, parent, size = k, 0, 0
+                n = 0 if n != n else int(n)
+                if size and size + n > most:
+                    parent, size = parent + 1, 0
+                size += n
+                parents.append(parent)
+            out = pdf.drop(columns="_n")
+            out["parent_no"] = parents
+            yield out
+
+    return rows.repartition(*group).sortWithinPartitions(*group, *order).mapInPandas(pack, schema)
 
 
 def filled_pages(df: DataFrame, source: str, pdf: str, printed: str, trusted: str, gap: int = 3, run: int = 3) -> DataFrame:

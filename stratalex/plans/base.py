@@ -32,7 +32,8 @@ def requests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "eval_items").select("item_id", "question", "discipline", "difficulty", "question_type", "evaluation_mode")
+    asked = F.concat_ws(" ", "question", "expected_work")
+    return table(spark, d, "eval_items").select("item_id", "question", "discipline", "difficulty", "question_type", "evaluation_mode", asked.alias("asked"))
 
 
 def citations(spark: SparkSession, d: str) -> DataFrame:
@@ -59,6 +60,8 @@ def entries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "core_classics").select("work_id", "title", F.posexplode("entries").alias("ord", "e")).select("work_id", "title", "ord", "e.*")
 
 
+#: A question with the work it asks for.
+ASKED_SQL = "concat_ws(' ', e.question, e.expected_work)"
 R_SQL = "r AS (SELECT DISTINCT * EXCLUDE (ingested_at) FROM records)"
 Q_SQL = "q AS (SELECT DISTINCT * EXCLUDE (received_at) FROM request_metrics)"
 CIT_SQL = """cit AS (SELECT item_id, i - 1 AS ord, c.source AS source, c.citation_page AS citation_page, c.quote AS quote, c.article AS article
