@@ -4,12 +4,12 @@ Every run of `least` code points contains WINDOW consecutive GRAM-code-point sub
 choose the same least hash in it: an anchor. Texts meet only where they share an anchor, in a shard of the reference.
 
 1. A numpy pass gives the anchors of each text, each with the hash of its surroundings, i.e. of all runs of `least` that
-   contain it. SQL windows over the anchors keep those that stand in more than one text. Where the surroundings are
+   contain it. Partial sums keep the anchors that stand in more than one text. Where the surroundings are
    equal as well, they are shared whole, and no text need be looked at.
 2. Only different surroundings of one anchor remain. Each anchor is a shard: its distinct surroundings are put into a
    suffix automaton, one text after the other, and each is streamed through it first for its matching statistics; maximal
-   matches of at least `least` are shared spans, on both sides. A shard beyond SHARD surroundings is divided, and the
-   surroundings stream through all its parts.
+   matches of at least `least` are shared spans, on both sides. Anchors with more than SHARD different surroundings are not
+   held by one task: their runs are compared by hash, spread over all tasks.
 3. The quotes, a fixed table, are texts like the others; spans are merged per text, and equal texts are told apart again.
 
 The automata are held by the tasks to which their shard is routed, not broadcast: together they would be as large as
@@ -206,28 +206,28 @@ class SuffixAutomaton:
         return out
 
 
-def shard_matches(rows: list[tuple[int, int, str, bool]], least: int = LEAST) -> Iterator[tuple[int, int, int]]:
+def shard_matches(rows: list[tuple[int, int, str]], least: int = LEAST) -> Iterator[tuple[int, int, int]]:
     """(text id, from, to) of what the surroundings in one shard share across texts.
 
-    rows: (text id, offset of the surroundings in the text, surroundings, whether they belong to the reference). Texts
-    are streamed in turn; the surroundings of one text join the automaton only after all of them went through it.
+    rows: (text id, offset of the surroundings in the text, surroundings). Texts are streamed in turn; the surroundings
+    of one text join the automaton only after all of them went through it.
     """
+    if len(rows) < 2:
+        return
     sam, held = SuffixAutomaton(), []
-    rows = sorted(rows, key=lambda r: (not r[3], r[0], r[1]))
+    rows = sorted(rows)
     i = 0
     while i < len(rows):
         j = i
-        while j < len(rows) and rows[j][0] == rows[i][0] and rows[j][3] == rows[i][3]:
+        while j < len(rows) and rows[j][0] == rows[i][0]:
             j += 1
-        for tid, at, s, _ in rows[i:j]:
+        for tid, at, s in rows[i:j]:
             for a, b, owner, end in sam.match(s, least):
-                tid2, at2, _, _ = held[owner]
-                if tid2 == tid:
-                    continue
+                tid2, at2, _ = held[owner]
                 yield tid, at + a, at + b
                 yield tid2, at2 + end - (b - a), at2 + end
-        for r in rows[i:j]:
-            if r[3]:
+        if j < len(rows):
+            for r in rows[i:j]:
                 sam.add(r[2], len(held))
                 held.append(r)
         i = j
@@ -253,40 +253,27 @@ def spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
                 )
 
     found = texts.mapInArrow(run, "h long, s long, tid long, at long")
-    same, anchor = Window.partitionBy("h", "s"), Window.partitionBy("h")
-    seen = (
-        found.withColumn("lo", F.min("tid").over(same))
-        .withColumn("hi", F.max("tid").over(same))
-        .withColumn("lo_h", F.min("tid").over(anchor))
-        .withColumn("hi_h", F.max("tid").over(anchor))
-        .filter("lo_h <> hi_h")
-    )
+    # anchors of more than one text: counted with partial sums, then the anchors are read again with that at hand
+    several = found.groupBy("h").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi")).filter("lo <> hi").select("h")
     pos, before, after = F.shiftright("at", 20), F.shiftright("at", 10).bitwiseAND(F.lit(1023)), F.col("at").bitwiseAND(F.lit(1023))
-    seen = cut(
-        seen.select("h", "s", "tid", (F.col("lo") != F.col("hi")).alias("equal"), (pos - before).cast("int").alias("a"), (pos + after).cast("int").alias("b"), "lo")
-    )
-    whole = seen.filter("equal").select("tid", "a", "b")
-    # one of the texts stands for equal surroundings; it counts as a text of its own, since others have them as well
-    apart = seen.filter(~F.col("equal") | (F.col("tid") == F.col("lo"))).groupBy("h", "s", "tid", "equal").agg(F.min("a").alias("a"), F.min_by("b", "a").alias("b"))
-    several = Window.partitionBy("h")
-    apart = cut(
-        apart.withColumn("n", F.count("*").over(several)).withColumn("r", F.row_number().over(several.orderBy("s", "tid"))).filter("n > 1")
-        .withColumn("parts", F.ceil(F.col("n") / SHARD).cast("int")).withColumn("own", ((F.col("r") - 1) % F.col("parts")).cast("int"))
-        .select("h", "tid", "equal", "a", "b", "parts", "own")
-    )
-    wanted = cut(apart.select("tid").distinct())
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    few = texts.join(wanted, "tid", "left_semi").groupBy("tid").agg(F.min("t").alias("t"))
-    cutouts = apart.join(few, "tid").select(
-        "h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "own", "tid", "equal", "a", F.substring("t", F.col("a") + 1, F.col("b") - F.col("a")).alias("x")
-    )
+    seen = cut(found.join(_small(several), "h", "left_semi").select("h", "s", "tid", (pos - before).cast("int").alias("a"), (pos + after).cast("int").alias("b")))
+    classes = cut(seen.groupBy("h", "s").agg(F.min(F.struct("tid", "a", "b")).alias("one"), F.max("tid").alias("hi")).select("h", "s", "one.*", (F.col("one.tid") != F.col("hi")).alias("equal")))
+    whole = seen.join(_small(classes.filter("equal").select("h", "s")), ["h", "s"], "left_semi").select("tid", "a", "b")
+    # one text stands for equal surroundings; it counts as a text of its own, since others have them as well
+    sizes = classes.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    apart = cut(classes.join(_small(sizes), "h").select("h", "tid", "equal", "a", "b", "n"))
+    few = texts.join(_small(apart.select("tid").distinct()), "tid", "left_semi").groupBy("tid").agg(F.min("t").alias("t"))
+    cutouts = apart.join(few, "tid").select("h", "n", "tid", "equal", "a", F.substring("t", F.col("a") + 1, F.col("b") - F.col("a")).alias("x"))
+    cutouts = cut(cutouts)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, str, bool]] = []
+        held: list[tuple[int, int, str]] = []
         back: dict[int, int] = {}
         last = None
 
+        def made(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in ((0, pa.int64()), (1, pa.int32()), (2, pa.int32()))], names=["tid", "a", "b"])
+
         def close() -> list[tuple[int, int, int]]:
             out = [(back.get(t, t), a, b) for t, a, b in shard_matches(held, least)]
             held.clear()
@@ -294,27 +281,42 @@ def spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
             return out
 
         for batch in batches:
-            h, part, own, tid, equal, a, x = (c.to_pylist() for c in batch.columns)
             out: list[tuple[int, int, int]] = []
-            for i in range(len(h)):
-                if (h[i], part[i]) != last:
-                    if len(held) > 1:
-                        out.extend(close())
-                    held.clear()
-                    back.clear()
-                    last = (h[i], part[i])
-                t = tid[i]
-                if equal[i]:
+            for h, t, equal, a, x in zip(*(c.to_pylist() for c in batch.columns)):
+                if h != last:
+                    out.extend(close())
+                    last = h
+                if equal:
+                    back[-(1 << 70) - len(held)] = t
                     t = -(1 << 70) - len(held)
-                    back[t] = tid[i]
-                held.append((t, a[i], x[i], own[i] == part[i]))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], ty) for k, ty in ((0, pa.int64()), (1, pa.int32()), (2, pa.int32()))], names=["tid", "a", "b"])
-        if len(held) > 1:
-            out = close()
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], ty) for k, ty in ((0, pa.int64()), (1, pa.int32()), (2, pa.int32()))], names=["tid", "a", "b"])
-
-    matched = cutouts.repartition("h", "part").sortWithinPartitions("h", "part").mapInArrow(go, "tid long, a int, b int")
-    return whole.unionByName(matched)
+                held.append((t, a, x))
+            yield made(out)
+        yield made(close())
+
+    shards = cutouts.filter(F.col("n") <= SHARD).select("h", "tid", "equal", "a", "x")
+    matched = shards.repartition("h").sortWithinPartitions("h").mapInArrow(go, "tid long, a int, b int")
+    return whole.unionByName(matched).unionByName(_hot_runs(cutouts.filter(F.col("n") > SHARD), least))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A checkpointed side, broadcast if its counted rows allow it; else the join shuffles, and AQE splits skewed keys."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _hot_runs(cutouts: DataFrame, least: int) -> DataFrame:
+    """(tid, a, b) of the runs that the surroundings of an anchor with very many of them share.
+
+    Each run of `least` around the anchor is a row with its hash; runs of several texts are found by partial sums, so
+    neither an automaton nor a group of rows grows with the anchor. At most least - GRAM + 1 runs hold an anchor.
+    """
+    runs = cutouts.filter(F.length("x") >= least).select(
+        "h", F.when(F.col("equal"), F.struct(F.col("tid"), F.col("a"))).otherwise(F.struct(F.col("tid"), F.lit(-1).alias("a"))).alias("who"), "tid", "a", "x",
+        F.explode(F.sequence(F.lit(0), F.length("x") - least)).alias("i"),
+    )
+    keyed = runs.select("h", F.xxhash64(F.substring("x", F.col("i") + 1, F.lit(least))).alias("run"), "who", "tid", (F.col("a") + F.col("i")).alias("a"))
+    shared = keyed.groupBy("h", "run").agg(F.min("who").alias("lo"), F.max("who").alias("hi")).filter("lo <> hi").select("h", "run")
+    return keyed.join(shared, ["h", "run"], "left_semi").select("tid", "a", (F.col("a") + least).cast("int").alias("b"))
 
 
 def merged(found: DataFrame) -> DataFrame:
