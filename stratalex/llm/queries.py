@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalex.llm import leakage, lookalikes, near_duplicates, packing, scan_noise, sentences, shared_spans, splitting, truncation
+from stratalex.llm import leakage, lookalikes, near_duplicates, oracles, packing, scan_noise, sentences, shared_spans, splitting, truncation
 from stratalex.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,12 +109,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND}
-
-
-P1_FOUND = """
-SELECT DISTINCT paragraph_id FROM records
-WHERE length(paragraph_text) > CASE lower(trim(retrieval_unit))
-  WHEN 'semantic_child' THEN 320 WHEN 'paragraph_child' THEN 320 WHEN 'paragraph' THEN 800
-  WHEN 'semantic_parent' THEN 1200 WHEN 'milvus_passage' THEN 2000 END
-"""
+    return oracles.oracle_sql()
