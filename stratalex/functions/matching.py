@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
-_RUN = re.compile("[\u0080-ÿŒ-Ÿƒˆ˜–-™]{2,}")
+_RUN = re.compile("[\u0080-ÿŒ-Ÿ\u017d\u017eƒˆ˜–-™]{2,}")
 
 
 def repaired(text: str) -> str:

@@ -24,10 +24,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 
@@ -42,5 +44,3 @@ def _load() -> None:
         if m.name.startswith("q_"):
             importlib.import_module(f"stratalex.plans.{m.name}")
 
-
-_load()
