@@ -81,6 +81,14 @@ def tokens(x: Column | str) -> Column:
     return F.concat(words, F.flatten(F.transform(runs, _run_grams)))
 
 
+def token_count(x: Column | str) -> Column:
+    """The number of tokens(x), from the lengths of the runs alone."""
+    t = F.lower(fold_width(x))
+    words = F.size(F.regexp_extract_all(t, F.lit("[a-z0-9]+"), F.lit(0)))
+    runs = F.regexp_extract_all(t, F.lit(f"[{HAN}]+"), F.lit(0))
+    return words + F.aggregate(runs, F.lit(0), lambda s, r: s + F.when(F.length(r) <= 2, 1).otherwise(2 * F.length(r) - 3))
+
+
 def sparse_tokens(x: Column | str) -> Column:
     """Distinct tokens of the sparse form, in order of first appearance."""
     t = sparse_form(x)
