@@ -24,6 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalex.llm.common import arrow_map
+from stratalex.llm.lookalikes import CYRILLIC, CYRILLIC_AS, GREEK, GREEK_AS
+
+#: Words are compared by the shape of their letters, so that a look-alike letter hides no abbreviation.
+_SHAPE = str.maketrans((CYRILLIC + GREEK).lower() + CYRILLIC + GREEK, (CYRILLIC_AS + GREEK_AS).lower() + CYRILLIC_AS + GREEK_AS)
 
 _INVISIBLE = re.compile("[­​-‏⁠-⁤﻿‪-‮]")
 _WIDE = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)} | {c: 0x20 for c in (0xA0, 0x1680, 0x202F, 0x205F, 0x3000, 0x09, 0x0D, *range(0x2000, 0x200B))}
@@ -41,12 +45,13 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 #: Points after these words end no sentence, whatever follows.
 NEVER = frozenset(
-    "mr mrs ms dr prof st hr hrn fr frl mme mlle mm messrs rev gen col capt sgt jr hon vol vols p pp cf vgl bd bde nr no nos fig figs ch chap "
+    w.translate(_SHAPE)
+    for w in "mr mrs ms dr prof st hr hrn fr frl mme mlle mm messrs rev gen col capt sgt jr hon vol vols p pp cf vgl bd bde nr no nos fig figs ch chap "
     "s t z d v u i e art tab taf kap abb abt hrsg ca bzw sog geb gest ed eds op cit ibid ders dies al v viz vs approx "
     "см стр гл рис табл им напр т с ср тов гос акад проф св ул пр м mgr sr sra dott".split()
 )
 #: Points after these words end a sentence if what follows opens one.
-MAYBE = frozenset("etc usw ff f cent env д п др г гг в вв руб коп тыс млн млрд h p.m a.m inc ltd co corp u.s sq jan feb mar apr jun jul aug sept oct nov dec".split())
+MAYBE = frozenset(w.translate(_SHAPE) for w in "etc usw ff f cent env д п др г гг в вв руб коп тыс млн млрд h p.m a.m inc ltd co corp u.s sq jan feb mar apr jun jul aug sept oct nov dec".split())
 #: Words after an ordinal point.
 ORDINAL_NEXT = frozenset(
     "januar februar märz april mai juni juli august september oktober november dezember jänner jahrhundert jahrhunderts jh jahrtausend kapitel "
@@ -166,7 +171,7 @@ def _score(p: str, s: int, marks: str, end: int, opened: int, last_end: int) ->
         return -9.0
     m = _TOKEN.search(p, max(0, s - 40), s)
     word = m.group() if m else ""
-    low = word.lower()
+    low = word.lower().translate(_SHAPE)
     if not word:
         return 4.0 if opened >= 0 or s != end - 1 or not gap else 2.0
     if word.isdigit():
@@ -178,7 +183,7 @@ def _score(p: str, s: int, marks: str, end: int, opened: int, last_end: int) ->
         return 3.0
     if len(word) == 1 and word.isupper():
         return -9.0 if opened < 0 else 1.0
-    if low in MAYBE or (low in ("д", "п") and s > 3):
+    if low in MAYBE:
         return 3.0
     if low in NEVER and opened < 0:
         return -9.0
