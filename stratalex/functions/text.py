@@ -14,6 +14,8 @@ HAN = "\u4e00-\u9fff"
 #: Full-width forms of ASCII and the ASCII characters, in the same order.
 WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 NARROW = "".join(chr(c) for c in range(0x21, 0x7F))
+NARROW_LETTERS = "".join(ch for ch in NARROW if ch.isalnum())
+WIDE_LETTERS = "".join(chr(ord(ch) + 0xFEE0) for ch in NARROW_LETTERS)
 #: Signs that say nothing about a label (a fixed value of the record contract).
 LABEL_NOISE = "·•.。…,:：;；—_\\-"
 #: Signs dropped before local retrieval (a fixed value of the tokenizer).
@@ -29,6 +31,12 @@ def fold_width(x: Column | str) -> Column:
     return F.translate(c(x), WIDE + "\u3000", NARROW + " ")
 
 
+def fold_letters(x: Column | str) -> Column:
+    """Full-width letters and digits to ASCII; texts without any are passed through, since translate() walks every character."""
+    wide = WIDE_LETTERS
+    return F.when(c(x).rlike(f"[{wide[0]}-{wide[9]}{wide[10]}-{wide[35]}{wide[36]}-{wide[61]}]"), F.translate(c(x), wide, NARROW_LETTERS)).otherwise(c(x))
+
+
 def compact(x: Column | str) -> Column:
     """The text without any white space."""
     return F.regexp_replace(c(x), f"[{BLANKS}]+", "")
@@ -46,7 +54,7 @@ def label(x: Column | str) -> Column:
 
 def match_form(x: Column | str) -> Column:
     """Letters, digits and Han only, lower case: for containment tests."""
-    return F.lower(F.regexp_replace(fold_width(x), f"[^0-9A-Za-z{HAN}]+", ""))
+    return F.lower(F.regexp_replace(fold_letters(x), f"[^0-9A-Za-z{HAN}]+", ""))
 
 
 def sparse_form(x: Column | str) -> Column:
@@ -75,18 +83,24 @@ def _run_grams(run: Column) -> Column:
 
 def tokens(x: Column | str) -> Column:
     """Words of ASCII letters and digits, then overlapping 2- and 3-grams of each Han run (runs of at most 2 stay whole)."""
-    t = F.lower(fold_width(x))
-    words = F.regexp_extract_all(t, F.lit("[a-z0-9]+"), F.lit(0))
-    runs = F.regexp_extract_all(t, F.lit(f"[{HAN}]+"), F.lit(0))
-    return F.concat(words, F.flatten(F.transform(runs, _run_grams)))
+
+    def made(t: Column) -> Column:
+        words = F.regexp_extract_all(t, F.lit("[a-z0-9]+"), F.lit(0))
+        runs = F.regexp_extract_all(t, F.lit(f"[{HAN}]+"), F.lit(0))
+        return F.concat(words, F.flatten(F.transform(runs, _run_grams)))
+
+    return bound(F.lower(fold_letters(x)), made)
 
 
 def token_count(x: Column | str) -> Column:
     """The number of tokens(x), from the lengths of the runs alone."""
-    t = F.lower(fold_width(x))
-    words = F.size(F.regexp_extract_all(t, F.lit("[a-z0-9]+"), F.lit(0)))
-    runs = F.regexp_extract_all(t, F.lit(f"[{HAN}]+"), F.lit(0))
-    return words + F.aggregate(runs, F.lit(0), lambda s, r: s + F.when(F.length(r) <= 2, 1).otherwise(2 * F.length(r) - 3))
+
+    def counted(t: Column) -> Column:
+        words = F.size(F.regexp_extract_all(t, F.lit("[a-z0-9]+"), F.lit(0)))
+        runs = F.regexp_extract_all(t, F.lit(f"[{HAN}]+"), F.lit(0))
+        return words + F.aggregate(runs, F.lit(0), lambda s, r: s + F.when(F.length(r) <= 2, 1).otherwise(2 * F.length(r) - 3))
+
+    return bound(F.lower(fold_letters(x)), counted)
 
 
 def sparse_tokens(x: Column | str) -> Column:
@@ -109,6 +123,15 @@ def phrases(x: Column | str, stop: list[str], most: int = 12) -> Column:
     return F.slice(F.transform(F.array_sort(keyed), lambda s: s["p"]), 1, most)
 
 
+def exploded(array: Column, name: str):
+    """The elements of a costly array as rows; filter out nulls after it.
+
+    explode() lets the optimizer infer a filter on the array's size, which would be computed a second time at the scan,
+    where a file may be read by few tasks; explode_outer() does not.
+    """
+    return F.explode_outer(array).alias(name)
+
+
 def han_bigrams(x: Column | str) -> Column:
     """Distinct pairs of adjacent Han, all else taken out first."""
     return F.array_distinct(grams(F.regexp_replace(c(x), f"[^{HAN}]+", ""), 2))

@@ -10,8 +10,11 @@ DIMENSION_ROWS = 200_000
 
 
 def dimension(df: DataFrame) -> DataFrame:
-    """A dimension table with a broadcast hint if its counted rows are few, else unchanged."""
-    return F.broadcast(df) if df.count() <= DIMENSION_ROWS else df
+    """A dimension table with a broadcast hint if its counted rows are few, else unchanged.
+
+    The count stops one row after the bound, so that a large table is not read for it.
+    """
+    return F.broadcast(df) if df.limit(DIMENSION_ROWS + 1).count() <= DIMENSION_ROWS else df
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, on: str, point: Column, start: str, end: str, width: int = 64, how: str = "inner") -> DataFrame:

@@ -40,11 +40,11 @@ def containing(large: DataFrame, small: DataFrame, held: Column) -> DataFrame:
 def gram_candidates(pages: DataFrame, page: str, text: Column, quotes: DataFrame, quote: str, needle: Column, top: int) -> DataFrame:
     """(quote, page, shared, rank): pages by the number of distinct Han bigrams they share with each quote.
 
-    Bigrams of the quotes cut the exploded pages by a semi-join before anything is counted.
+    The join with the bigrams of the quotes, a side of checked size, cuts the exploded pages before anything is shuffled.
     """
-    q = quotes.select(F.col(quote), F.explode(T.han_bigrams(needle)).alias("g"))
-    p = pages.select(F.col(page), F.explode(T.han_bigrams(text)).alias("g")).join(F.broadcast(q.select("g").distinct()), "g", "left_semi")
-    n = p.join(F.broadcast(q), "g").groupBy(quote, page).agg(F.count("*").alias("shared"))
+    q = I.dimension(quotes.select(F.col(quote), F.explode(T.han_bigrams(needle)).alias("g")))
+    p = pages.select(F.col(page), T.exploded(T.han_bigrams(text), "g"))
+    n = p.join(q, "g").groupBy(quote, page).agg(F.count("*").alias("shared"))
     return R.top_k(n, [quote], [F.desc("shared"), F.asc(page)], top)
 
 

@@ -41,14 +41,14 @@ _DF_SQL = f"{R_SQL}, {BODY_SQL}, t AS (SELECT paragraph_id, list_distinct({sql_t
 
 @query("a02_inverted_index", f"WITH {_DF_SQL} SELECT term, df FROM df WHERE df >= 40")
 def a02(spark, d):
-    t = body(spark, d).select(F.explode(F.array_distinct(T.tokens("paragraph_text"))).alias("term"))
+    t = body(spark, d).select(T.exploded(F.array_distinct(T.tokens("paragraph_text")), "term")).filter("term is not null")
     return t.groupBy("term").agg(F.count("*").alias("df")).filter("df >= 40")
 
 
 @query("a03_postings_pruning", f"WITH {_DF_SQL} SELECT CAST(count(*) AS BIGINT) AS terms, CAST(sum(df) AS BIGINT) AS postings FROM df WHERE df >= 5 AND df <= 0.6 * (SELECT count(*) FROM b)")
 def a03(spark, d):
     b = body(spark, d)
-    df = b.select(F.explode(F.array_distinct(T.tokens("paragraph_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = b.select(T.exploded(F.array_distinct(T.tokens("paragraph_text")), "term")).filter("term is not null").groupBy("term").agg(F.count("*").alias("df"))
     n = b.agg(F.count("*").alias("n"))
     return df.filter("df >= 5").crossJoin(F.broadcast(n)).filter("df <= 0.6D * n").agg(F.count("*").alias("terms"), F.sum("df").alias("postings"))
 
@@ -388,7 +388,7 @@ def a30(spark, d):
 )
 def a31(spark, d):
     r = table(spark, d, "records").filter("page_type = 'notes'").select("paragraph_id", "paragraph_text").distinct()
-    return r.select("paragraph_id", F.explode(T.han_bigrams("paragraph_text")).alias("g")).groupBy("g").agg(F.count("*").alias("pages"), F.min("paragraph_id").alias("first_page"))
+    return r.select("paragraph_id", T.exploded(T.han_bigrams("paragraph_text"), "g")).filter("g is not null").groupBy("g").agg(F.count("*").alias("pages"), F.min("paragraph_id").alias("first_page"))
 
 
 @query(
