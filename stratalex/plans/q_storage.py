@@ -80,7 +80,11 @@ def _streamed(spark, d, make):
 
 @query("s20_stream_windows", None)
 def s20_windows(spark, d):
-    return _streamed(spark, d, lambda s: loads.windowed_requests(s, late="60 days"))
+    at = scratch(spark)
+    e = table(spark, d, "request_metrics").select("request_id", "event_name", "received_at", "fallback_used", "elapsed_ms")
+    e.repartition(4).write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+    return loads.window_totals(spark, loads.windowed_requests(stream, late=None), f"{at}/out", f"{at}/ck")
 
 
 @query("w14_stream_last_good", None)

@@ -40,14 +40,44 @@ def load_chunks(spark: SparkSession, source_dir: str, schema: str, target: str,
     return spark.read.parquet(f"{target}/rows").count()
 
 
-def windowed_requests(events: DataFrame, at: str = "received_at", every: str = "1 hour", late: str = "2 days") -> DataFrame:
-    """Requests, fallbacks and latency per window and event name, late rows within the watermark counted, repeats once."""
-    once = events.withWatermark(at, late).dropDuplicatesWithinWatermark(["request_id"])
+def windowed_requests(events: DataFrame, at: str = "received_at", every: str = "1 hour", late: str | None = "2 days") -> DataFrame:
+    """Requests, fallbacks and latency per window and event name, late rows within the watermark counted, repeats once.
+
+    late=None: no watermark; rows of any age count, and the windows and request ids stay in the state. Such windows never
+    close, so they are written with window_totals.
+    """
+    if late is None:
+        once = events.dropDuplicates(["request_id"])
+    else:
+        once = events.withWatermark(at, late).dropDuplicatesWithinWatermark(["request_id"])
     return once.groupBy(F.window(at, every), "event_name").agg(
         F.count("*").alias("n"), F.count_if("fallback_used").alias("fallbacks"), F.round(F.avg(F.when(F.col("elapsed_ms") >= 0, F.col("elapsed_ms"))), 4).alias("avg_ms")
     ).select(F.col("window.start").alias("start"), "event_name", "n", "fallbacks", "avg_ms")
 
 
+def window_totals(spark: SparkSession, windows: DataFrame, target: str, checkpoint: str) -> DataFrame:
+    """All windows of windowed_requests(..., late=None) after the input at hand, none of them held back.
+
+    Each micro-batch writes the windows that it changed under its batch id; the last state of each window is returned.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    q = windows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    names = windows.columns
+    last = F.max_by(F.struct(*names), "batch").alias("w")
+    written = spark.read.schema(f"{_ddl(windows)}, batch long").parquet(target)
+    return written.groupBy("start", "event_name").agg(last).select("w.*")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+
+
 def last_good_turns(events: DataFrame, key: str = "topic_id") -> DataFrame:
     """(key, request_id, last_good): for each request the last one of its key with evidence, kept as state over batches."""
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalex.operators import ranking as R
-from stratalex.plans import pipeline
+from stratalex.plans import catalog, pipeline
 from stratalex.sources import readers, writers
 from stratalex.streaming import loads
 
@@ -97,3 +97,16 @@ def test_staged_build(spark, tmp_path):
     assert n["chunks"] > 0 and n["terms"] > 0
     with pytest.raises(Exception):
         pipeline.build(spark, spark.read.parquet(f"{SF}/records.parquet"), target)
+
+
+def test_stream_windows_are_those_of_the_batch(spark):
+    d = "/root/testdata/sf0.01"
+    once = spark.read.parquet(f"{d}/request_metrics.parquet").dropDuplicates(["request_id"])
+    valid = F.when(F.col("elapsed_ms") >= 0, F.col("elapsed_ms"))
+    batch = once.groupBy(F.window("received_at", "1 hour"), "event_name").agg(F.count("*"), F.count_if("fallback_used"), F.avg(valid))
+    key = lambda rows: sorted((r[0], r[1] or "", r[2], r[3]) for r in rows)
+    got = catalog.queries()["s20_stream_windows"](spark, d).collect()
+    want = [(r[0]["start"], *r[1:]) for r in batch.collect()]
+    assert key(got) == key(want) and sum(r["n"] for r in got) == once.count()
+    means = {(r[0], r[1]): r[4] for r in want}
+    assert all(r["avg_ms"] == pytest.approx(means[r["start"], r["event_name"]], abs=1e-4) for r in got)
