@@ -3,7 +3,8 @@
 Two passes over the texts and small tables between them:
 
 1. Counts over all rows: words, contexts of Han characters that have a look-alike, and lines with their digits masked.
-   Each task sums its own counts before anything is shuffled.
+   Each task sums its own counts before anything is shuffled. Masked lines are counted over distinct texts, so that
+   copies of a text and repeated rows say nothing about its heads.
 2. Lexicon, in SQL over the counts: words are grouped by their confusable-glyph skeleton; in each group the frequent form
    is the reading of rare ones. A Han character is misread where its look-alike is many times as frequent
    beside the same neighbours. Lines that stand masked and alone in different surroundings of one source are heads,
@@ -49,7 +50,8 @@ RATIO, SUPPORT = 20, 5
 #: The natural logarithm of the odds beyond which a Han character is misread.
 ODDS = 4.0
 #: A masked line is a head if it stands after so many different lines of one source, and mostly after different ones:
-#: a line of text that was copied follows the same line each time.
+#: a line of text that was copied follows the same line each time. Equal texts count once; where a line opens a text,
+#: nothing stands before it, and this does not speak against it.
 HEAD_TIMES, HEAD_PART = 3, 0.7
 LEXICON_ROWS = 2_000_000
 
@@ -158,15 +160,17 @@ def _head_lines(lines: list[str]) -> Iterator[tuple[str, int]]:
 
 
 def count(rows: DataFrame) -> DataFrame:
-    """Counts of words (kind 0), Han contexts (1) and masked lines (2): (kind, word, source, code, n, before).
+    """Counts of words (kind 0), Han contexts (1) and masked lines (2): (kind, word, source, code, n, before, doc).
+
+    doc: hash of the text in which a masked line stands.
 
     rows: (k, source, t, scanned)
     """
-    target = pa.schema([("kind", pa.int32()), ("word", pa.string()), ("source", pa.string()), ("code", pa.int64()), ("n", pa.int64()), ("before", pa.int64())])
+    target = pa.schema([("kind", pa.int32()), ("word", pa.string()), ("source", pa.string()), ("code", pa.int64()), ("n", pa.int64()), ("before", pa.int64()), ("doc", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[str] = Counter()
-        lines: Counter[tuple[str | None, int, int]] = Counter()
+        lines: Counter[tuple[str | None, int, int, int]] = Counter()
         contexts: list[tuple[np.ndarray, np.ndarray]] = []
         special = _special()
 
@@ -186,6 +190,7 @@ def count(rows: DataFrame) -> DataFrame:
                     pa.array([*none(w), *codes.tolist(), *(x[1] for x in lines)], pa.int64()),
                     pa.array([*words.values(), *n.tolist(), *lines.values()], pa.int64()),
                     pa.array([*none(w + c), *(x[2] for x in lines)], pa.int64()),
+                    pa.array([*none(w + c), *(x[3] for x in lines)], pa.int64()),
                 ],
                 schema=target,
             )
@@ -198,7 +203,8 @@ def count(rows: DataFrame) -> DataFrame:
             flat = []
             for t, s, scan in zip(texts, sources, scanned):
                 if scan and "\n" in t:
-                    lines.update((s, _hash(k), h) for k, h in _head_lines(t.split("\n")))
+                    doc = _hash(t)
+                    lines.update((s, _hash(k), h, doc) for k, h in _head_lines(t.split("\n")))
                     t = _DEHYPHEN.sub("", t)
                 flat.append(t)
             joined = "\n\n".join(flat)
@@ -209,8 +215,8 @@ def count(rows: DataFrame) -> DataFrame:
                 yield from flush()
         yield from flush()
 
-    raw = rows.mapInArrow(run, "kind int, word string, source string, code long, n long, before long")
-    return raw.groupBy("kind", "word", "source", "code", "before").agg(F.sum("n").alias("n"))
+    raw = rows.mapInArrow(run, "kind int, word string, source string, code long, n long, before long, doc long")
+    return raw.groupBy("kind", "word", "source", "code", "before", "doc").agg(F.sum("n").alias("n"))
 
 
 def word_lexicon(counts: DataFrame) -> DataFrame:
@@ -254,6 +260,14 @@ def han_lexicon(counts: DataFrame) -> DataFrame:
     return t.withColumn("odds", odds).filter(F.col("odds") > ODDS).groupBy("code").agg(F.max_by("d", F.struct("odds", "d")).alias("right"))
 
 
+def line_heads(counts: DataFrame) -> DataFrame:
+    """(source, code): masked lines that stand after different lines in the distinct texts of a source."""
+    lines = counts.filter("kind = 2").groupBy("source", "code", "before").agg(F.count("*").alias("texts"))
+    after = F.col("before") != F.lit(_hash(""))
+    often = lines.groupBy("source", "code").agg(F.count("*").alias("places"), F.count_if(after).alias("different"), F.sum(F.when(after, F.col("texts"))).alias("n"))
+    return often.filter((F.col("places") >= HEAD_TIMES) & (F.col("different") >= HEAD_PART * F.col("n"))).select("source", "code")
+
+
 def title_heads(rows: DataFrame, titles: list[str]) -> DataFrame:
     """(source, title) that the rows themselves name; distinct before they leave the JVM."""
     every = F.explode(F.array(*[F.col(c).cast("string") for c in titles]))
@@ -378,7 +392,7 @@ def marked(
     rows = df.select(F.col(key).alias("k"), F.col(source).alias("source"), F.col(text).alias("t"), scan.alias("scanned")).filter(F.length(F.trim("t")) > 0)
     counts = cut(count(rows))
     words, codes = cut(word_lexicon(counts)), cut(han_lexicon(counts))
-    often = counts.filter("kind = 2").groupBy("source", "code").agg(F.sum("n").alias("n"), F.count("*").alias("places")).filter((F.col("places") >= HEAD_TIMES) & (F.col("places") >= HEAD_PART * F.col("n")))
+    often = line_heads(counts)
     named = title_heads(df.select(F.col(source).alias("source"), *titles), titles)
     heads = cut(often.select("source", "code", F.lit(None).cast("string").alias("title")).unionByName(named.select("source", F.lit(None).cast("long").alias("code"), "title")))
     parts = max(1, -(-max(words.count(), codes.count()) // lexicon_rows))

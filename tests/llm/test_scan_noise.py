@@ -40,3 +40,16 @@ def test_a_bounded_lexicon_in_parts_gives_the_same(spark):
 def test_empty(spark):
     df = frame(spark, []) if False else spark.createDataFrame([], "id string, source string, book string, t string")
     assert m.marked(df, "id", "t", "source", ["book"]).count() == 0
+
+
+def test_copies_and_opening_lines_do_not_hide_a_head(spark):
+    pages = [(f"p{i}", "s", None, f"{FILL[0]} {w}\n砚山余编卷\nold {w} trade.") for i, w in enumerate(("north", "south", "west", "east"))]
+    copies = [("c%d" % i, "s", None, pages[0][3]) for i in range(30)] + [pages[1]] * 5
+    opening = [(f"o{i}", "s", None, f"砚山余编卷\nthe fair of {w}.") for i, w in enumerate("abcdefgh")]
+    # a line of text in a copied text stays a line of text
+    text = [(f"t{i}", "s", None, "the river in the town\nthe market and the fair\nend.") for i in range(30)]
+    heads = lambda rows: {(r["id"], r["line_no"]) for r in m.marked(frame(spark, rows), "id", "t", "source", ["book"]).collect() if r["noise_kind"] == "running_head"}
+    want = {(r[0], 2) for r in pages}
+    assert heads(pages + text) == want
+    assert heads(pages + text + copies) == want | {(r[0], 2) for r in copies}
+    assert heads(pages + text + opening) == want | {(r[0], 1) for r in opening}
