@@ -14,6 +14,8 @@ Two passes over the texts and small tables between them:
    paragraphs at blank lines.
 
 The lexicon is bounded: its rows are counted first, and beyond LEXICON_ROWS the marking runs once for each part of it.
+Each part finds the misreadings that its own words and contexts show; the changes of all parts are put together for each
+line before the line is repaired.
 
 Defined cases: null, empty and blank texts have no lines; a record without line feeds has one line; repeated rows of a
 key count once; a word without a frequent form of the same skeleton is left as it is.
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -274,11 +277,31 @@ def title_heads(rows: DataFrame, titles: list[str]) -> DataFrame:
     return rows.select("source", every.alias("title")).filter(F.length("title") >= 4).distinct()
 
 
+#: (order, offset in the line, misread, repaired); the offset is negative where a word begins on the line before.
+Change = tuple[int, int, str, str]
+
+
+def part_of(word: str, parts: int) -> int:
+    """The part of the lexicon that decides on a word, as SQL computes it from crc32."""
+    return zlib.crc32(word.encode()) % parts
+
+
+def repaired(line: str, changes: list[Change]) -> str:
+    """A line after its changes, in their order."""
+    for _, start, w, right in changes:
+        end = start + len(w)
+        if start >= 0 and line[start:end] == w and len(right) == len(w):
+            line = line[:start] + right + line[end:]
+        elif start >= 0 and w in line:
+            line = line.replace(w, right, 1)
+    return line
+
+
 class Reader:
     """The lexicon in the form in which texts are read with it."""
 
-    def __init__(self, words: dict[str, str], codes: np.ndarray, rights: np.ndarray, heads: dict[str | None, tuple[set[int], set[str], set[str]]]):
-        self.words, self.heads = words, heads
+    def __init__(self, words: dict[str, str], codes: np.ndarray, rights: np.ndarray, heads: dict[str | None, tuple[set[int], set[str], set[str]]], part: int = 0, parts: int = 1):
+        self.words, self.heads, self.part, self.parts = words, heads, part, parts
         order = np.argsort(codes)
         self.codes, self.rights = codes[order], rights[order]
         self.special = _special()
@@ -294,8 +317,8 @@ class Reader:
         parts = [head_key(x) for x in _EDGE_NUMBER.sub("", _narrow(line)).split("　")]
         return len(parts) > 1 and parts[0] in titles and all(not x or x in titles or x in starts for x in parts[1:])
 
-    def read(self, source: str | None, text: str) -> tuple[list[str], list[set[str]], list[str], bool]:
-        """(lines, kinds of noise of each, repaired lines, whether lines are joined by a blank)."""
+    def read(self, source: str | None, text: str) -> tuple[list[str], list[set[str]], list[list[Change]], bool]:
+        """(lines, kinds of noise of each, changes of each, whether lines are joined by a blank)."""
         lines = text.split("\n")
         kinds: list[set[str]] = [set() for _ in lines]
         if len(lines) > 1:
@@ -308,7 +331,7 @@ class Reader:
                     kinds[i].add("running_head")
         body = [i for i, x in enumerate(lines) if not kinds[i] and x and not x.isspace()]
         spaced = 4 * len(_HAN.findall(text)) < len(text) and not re.search("[぀-ヿ฀-๿]", text)
-        fixed = list(lines)
+        edits: list[list[Change]] = [[] for _ in lines]
         # the text that flows through the lines, and the line and column of each of its characters
         flow: list[str] = []
         spans: list[tuple[int, int]] = []  # (line, offset in the flow)
@@ -334,12 +357,12 @@ class Reader:
             size += len(part)
         joined = "".join(flow)
         offsets = [o for _, o in spans]
-        changes: list[tuple[int, int, str]] = []  # (from, to, repaired) in the flow
+        changes: list[tuple[int, int, str, int]] = []  # (from, to, repaired, order) in the flow
         if self.words or _MIXED.search(joined):
             for m in _ALPHA.finditer(joined):
                 right = self.words.get(m.group())
                 if right is not None:
-                    changes.append((m.start(), m.end(), right))
+                    changes.append((m.start(), m.end(), right, 0))
             for m in _MIXED.finditer(joined):
                 w = m.group()
                 letters = sum(ch.isalpha() for ch in w)
@@ -350,32 +373,29 @@ class Reader:
                         if hit is None:
                             break
                         r = hit
-                    changes.append((m.start(), m.end(), self.words.get(r, r)))
-            for m in _YEAR.finditer(joined):
+                    if part_of(r, self.parts) == self.part:
+                        changes.append((m.start(), m.end(), self.words.get(r, r), 1))
+            for m in _YEAR.finditer(joined) if self.part == 0 else ():
                 if sum(ch.isdigit() for ch in m.group()) >= 2:
-                    changes.append((m.start(), m.end(), m.group().translate(_YEAR_DIGITS)))
+                    changes.append((m.start(), m.end(), m.group().translate(_YEAR_DIGITS), 2))
         if len(self.codes) and len(joined) > 2 and _HAN.search(joined):
             at, codes = _codes(_points(joined), self.special)
             if len(at):
                 k = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
                 hit = self.codes[k] == codes
                 for p, r in zip(at[hit].tolist(), self.rights[k[hit]].tolist()):
-                    changes.append((p, p + 1, chr(r)))
+                    changes.append((p, p + 1, chr(r), 3))
         if changes:
             import bisect
 
-            for a, b, right in changes:
+            for a, b, right, order in changes:
                 w = joined[a:b]
                 d = next((i for i in range(min(len(w), len(right))) if w[i] != right[i]), 0)
                 j = bisect.bisect_right(offsets, a + d) - 1
                 line = spans[j][0]
                 kinds[line].add("misread")
-                start = a - offsets[j]
-                if start >= 0 and fixed[line][start : start + b - a] == w and len(right) == len(w):
-                    fixed[line] = fixed[line][:start] + right + fixed[line][start + b - a :]
-                elif start >= 0 and w in fixed[line]:
-                    fixed[line] = fixed[line].replace(w, right, 1)
-        return lines, kinds, fixed, spaced
+                edits[line].append((order, a - offsets[j], w, right))
+        return lines, kinds, edits, spaced
 
 
 def marked(
@@ -401,7 +421,7 @@ def marked(
     results = []
     for part, head_part in [(p, q) for p in range(parts) for q in range(head_parts)]:
         mine = lambda d, c, of, i: d if of == 1 else d.filter(F.pmod(F.xxhash64(c), F.lit(of)) == i)
-        w = {r["word"]: r["right"] for r in mine(words, "word", parts, part).toLocalIterator()}
+        w = {r["word"]: r["right"] for r in (words if parts == 1 else words.filter(F.crc32("word") % parts == part)).toLocalIterator()}
         c = [(r["code"], r["right"]) for r in mine(codes, "code", parts, part).toLocalIterator()]
         h: dict[str | None, tuple[set[int], set[str], set[str]]] = {}
         # the rows of a source need its own heads only, and these whole: they decide which lines are text at all
@@ -414,10 +434,10 @@ def marked(
                 if len(k) >= 3:
                     exact.add(k)
                     starts.update(k[:n] for n in range(3, len(k)))
-        sent = sc.broadcast((w, np.array([x for x, _ in c], np.int64), np.array([y for _, y in c], np.int64), h))
+        sent = sc.broadcast((w, np.array([x for x, _ in c], np.int64), np.array([y for _, y in c], np.int64), h, part, parts))
         held: dict[str, Reader] = {}
         if lines:
-            schema = f"`{key}` {kind}, line_no int, line string, repaired string, noise array<string>, spaced boolean"
+            schema = f"`{key}` {kind}, line_no int, line string, {'changes ' + _CHANGES if parts > 1 else 'repaired string'}, noise array<string>, spaced boolean"
         else:
             schema = f"`{key}` {kind}, line_no int, noise_kind string"
 
@@ -425,13 +445,14 @@ def marked(
             if "r" not in held:
                 held["r"] = Reader(*sent.value)
             reader = held["r"]
-            names = (key, "line_no", "line", "repaired", "noise", "spaced") if lines else (key, "line_no", "noise_kind")
+            names = (key, "line_no", "line", "changes" if parts > 1 else "repaired", "noise", "spaced") if lines else (key, "line_no", "noise_kind")
             out: dict[str, list] = {n: [] for n in names}
             for k, s, t in zip(batch["k"], batch["source"], batch["t"]):
-                all_lines, noise, fixed, spaced = reader.read(s, t)
+                all_lines, noise, edits, spaced = reader.read(s, t)
                 for i, found in enumerate(noise):
                     if lines:
-                        for n, v in zip(names, (k, i + 1, all_lines[i], fixed[i], sorted(found), spaced)):
+                        change = [dict(zip(("ord", "start", "wrong", "right"), x)) for x in edits[i]] if parts > 1 else repaired(all_lines[i], edits[i])
+                        for n, v in zip(names, (k, i + 1, all_lines[i], change, sorted(found), spaced)):
                             out[n].append(v)
                     else:
                         for x in found:
@@ -444,7 +465,23 @@ def marked(
     found = results[0]
     for r in results[1:]:
         found = found.unionByName(r)
-    return found
+    return merged(found, key, kind) if lines and parts > 1 else found
+
+
+_CHANGES = "array<struct<ord: int, start: int, wrong: string, right: string>>"
+
+
+def merged(found: DataFrame, key: str, kind: str) -> DataFrame:
+    """Each line once, repaired by the changes that all parts of the lexicon found in it."""
+    each = found.groupBy(key, "line_no", "line", "spaced").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("changes")))).alias("changes"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("noise")))).alias("noise")
+    )
+
+    def run(batch: dict[str, list]):
+        fixed = [repaired(x, [(c["ord"], c["start"], c["wrong"], c["right"]) for c in cs]) for x, cs in zip(batch["line"], batch["changes"])]
+        yield {**batch, "repaired": fixed}
+
+    return arrow_map(each, run, f"`{key}` {kind}, line_no int, line string, repaired string, noise array<string>, spaced boolean")
 
 
 def paragraphs(marked_lines: DataFrame, key: str) -> DataFrame:

@@ -53,3 +53,15 @@ def test_copies_and_opening_lines_do_not_hide_a_head(spark):
     assert heads(pages + text) == want
     assert heads(pages + text + copies) == want | {(r[0], 2) for r in copies}
     assert heads(pages + text + opening) == want | {(r[0], 1) for r in opening}
+
+
+def test_lines_are_repaired_by_all_parts_of_the_lexicon(spark):
+    rows = [(f"f{i}", "s", None, FILL[0]) for i in range(100)] + [(f"g{i}", "s", None, FILL[1]) for i in range(100)]
+    rows += [("a", "s", None, "the markct of the town and the\nfair in 18O9\nold tradc"), ("b", "s", None, "资木和农业之间，markct and tradc\nend")]
+    rows += [rows[-1]]
+    df = frame(spark, rows)
+    lines = lambda n: {tuple(map(str, r)) for r in m.marked(df, "id", "t", "source", ["book"], lines=True, lexicon_rows=n).select("id", "line_no", "line", "repaired", "noise", "spaced").collect()}
+    text = lambda n: {tuple(r) for r in m.paragraphs(m.marked(df, "id", "t", "source", ["book"], lines=True, lexicon_rows=n), "id").collect()}
+    assert lines(1) == lines(m.LEXICON_ROWS)
+    assert text(1) == text(m.LEXICON_ROWS)
+    assert ("a", 0, "the market of the town and the fair in 1809 old trade") in text(1)
