@@ -66,18 +66,6 @@ def s19(spark, d):
     return spark.createDataFrame([(meta["n"], meta["avgdl"], meta["corpus"])], "n long, avgdl double, corpus string")
 
 
-def _streamed(spark, d, make):
-    at = scratch(spark)
-    e = table(spark, d, "request_metrics")
-    e.repartition(4).write.parquet(f"{at}/in")
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
-    q = make(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/ck").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    if q.exception():
-        raise q.exception()
-    return spark.read.parquet(f"{at}/out")
-
-
 @query("s20_stream_windows", None)
 def s20_windows(spark, d):
     at = scratch(spark)
@@ -89,4 +77,13 @@ def s20_windows(spark, d):
 
 @query("w14_stream_last_good", None)
 def w14_stream(spark, d):
-    return _streamed(spark, d, lambda s: loads.last_good_turns(s.filter("topic_id is not null")))
+    at = scratch(spark)
+    e = table(spark, d, "request_metrics").select("request_id", "ts", "topic_id", "evidence_count", "audit_ok")
+    loads.in_time_order(e, f"{at}/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    turns = loads.last_good_turns(stream.dropDuplicates(["request_id"]))
+    q = turns.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/ck").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return spark.read.parquet(f"{at}/out")

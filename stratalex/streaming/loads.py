@@ -79,19 +79,38 @@ def _ddl(df: DataFrame) -> str:
 
 
 def last_good_turns(events: DataFrame, key: str = "topic_id") -> DataFrame:
-    """(key, request_id, last_good): for each request the last one of its key with evidence, kept as state over batches."""
+    """(key, request_id, last_good): for each request the last one of its key with evidence, kept as state over batches.
+
+    The order is that of (ts, request_id) within a micro-batch; over micro-batches the input must come in time order
+    (in_time_order). Rows without a key are the key 'none'.
+    """
+    good = F.coalesce(F.col("audit_ok") & (F.col("evidence_count") > 0), F.lit(False)).alias("good")
+    narrow = events.select(F.coalesce(key, F.lit("none")).alias(key), "request_id", "ts", good)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        out = []
-        for pdf in batches:
-            for r in pdf.sort_values(["ts", "request_id"]).itertuples(index=False):
-                out.append((k[0], int(r.request_id), last))
-                if r.evidence_count and r.audit_ok:
-                    last = int(r.request_id)
-        state.update((last,))
-        yield pd.DataFrame(out, columns=[key, "request_id", "last_good"]).astype({"last_good": "Int64"})
-
-    return events.groupBy(key).applyInPandasWithState(
+        # the rows of a key come in several pieces, which only together can be put in order
+        rows = pd.concat([b[["request_id", "ts", "good"]] for b in batches]).sort_values(["ts", "request_id"], na_position="first")
+        ids = rows["request_id"].astype("Int64")
+        reached = ids.where(rows["good"].astype(bool)).ffill()
+        before = reached.shift()
+        if last is not None:
+            before, reached = before.fillna(last), reached.fillna(last)
+        end = reached.iloc[-1]
+        state.update((None if pd.isna(end) else int(end),))
+        yield pd.DataFrame({key: k[0], "request_id": ids, "last_good": before})
+
+    return narrow.groupBy(key).applyInPandasWithState(
         step, f"{key} string, request_id long, last_good long", "last long", "append", GroupStateTimeout.NoTimeout
     )
+
+
+def in_time_order(events: DataFrame, target: str, at: str = "ts", slices: int = 4) -> None:
+    """Write the rows as files that a stream reads in time order: slices by time, one file each, the oldest written first."""
+    cuts = events.agg(F.percentile_approx(at, [i / slices for i in range(1, slices)])).first()[0] or []
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        after = F.lit(True) if low is None else F.col(at) > low
+        within = F.lit(True) if high is None else F.col(at) <= high
+        if low is None:
+            within = within | F.col(at).isNull()
+        events.filter(after & within).coalesce(1).write.mode("append").parquet(target)

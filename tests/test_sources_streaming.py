@@ -110,3 +110,9 @@ def test_stream_windows_are_those_of_the_batch(spark):
     assert key(got) == key(want) and sum(r["n"] for r in got) == once.count()
     means = {(r[0], r[1]): r[4] for r in want}
     assert all(r["avg_ms"] == pytest.approx(means[r["start"], r["event_name"]], abs=1e-4) for r in got)
+
+
+def test_streamed_last_good_is_that_of_the_batch(spark):
+    d = "/root/testdata/sf0.1"
+    rows = lambda q: sorted((r["request_id"], r["last_good"] or 0) for r in catalog.queries()[q](spark, d).collect())
+    assert rows("w14_stream_last_good") == rows("w14_last_good_turn")
