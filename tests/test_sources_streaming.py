@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratalex.operators import ranking as R
 from stratalex.plans import catalog, pipeline
+from stratalex.plans.q_aggregates import body
 from stratalex.sources import readers, writers
 from stratalex.streaming import loads
 
@@ -116,3 +117,8 @@ def test_streamed_last_good_is_that_of_the_batch(spark):
     d = "/root/testdata/sf0.1"
     rows = lambda q: sorted((r["request_id"], r["last_good"] or 0) for r in catalog.queries()[q](spark, d).collect())
     assert rows("w14_stream_last_good") == rows("w14_last_good_turn")
+
+
+def test_checked_statistics_cover_all_sources(spark):
+    got = catalog.queries()["s19_checked_statistics"](spark, SF).first()
+    assert got["n"] == body(spark, SF).count()
