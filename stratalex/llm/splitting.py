@@ -2,14 +2,17 @@
 
 Agglomerative merging: a text is cut into atomic segments at every natural boundary; all adjacent pairs stand in a
 heap by the strength of the boundary between them, and the weakest boundary is merged first while the joined
-segment and the overlap fit the limit. What is left between segments are the strongest boundaries.
+segment and the overlap fit the limit (the first piece has no overlap before it). What is left between segments are the
+strongest boundaries. Of equally strong boundaries the first in the text is merged first, so that pieces are filled one
+after the other and a text with one kind of boundary only wastes no room.
 
 Only texts beyond their limit leave the JVM, and each is handled on its own, so the work is in proportion to the
 oversized text and needs no shuffle but for the repeats of a key.
 
 Defined cases: a null or unknown unit has no limit; null, empty and short texts give no piece; a text without any
-natural boundary is cut at whole code points, before no combining sign where that can be helped; repeated rows of an
-id give their pieces once; extra columns are ignored, whatever their names.
+natural boundary is cut at whole code points, before no combining sign where that can be helped; rows equal in id, text
+and unit give their pieces once, and different texts under one id each give theirs, told apart by text_hash; the overlap is exact and may therefore begin with a combining sign; extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -59,10 +62,10 @@ def cut_points(text: str, limit: int, overlap: int) -> list[int]:
         raise ValueError("the overlap must be smaller than the limit")
     cuts, strength = [0], []
     for at, s in [*boundaries(text), (len(text), 0)]:
-        while at - cuts[-1] > room:  # no natural boundary within reach
-            p = cuts[-1] + room
+        while at - cuts[-1] > (room if cuts[-1] else limit):  # no natural boundary within reach
+            p = cuts[-1] + (room if cuts[-1] else limit)
             q = p
-            while q > p - 16 and q > cuts[-1] + 1 and (unicodedata.combining(text[q]) or text[q] in "‍️"):
+            while q > p - 16 and q > cuts[-1] + 1 and (unicodedata.combining(text[q]) or text[q] in "\u200d\ufe0f"):
                 q -= 1
             cuts.append(q if q > cuts[-1] else p)
             strength.append(0.5)
@@ -73,29 +76,26 @@ def cut_points(text: str, limit: int, overlap: int) -> list[int]:
     start, end = cuts[:-1], cuts[1:]
     left, right = list(range(-1, n - 1)), list(range(1, n + 1))
     alive, version = [True] * n, [0] * n
-    heap = [(strength[i], end[i + 1] - start[i], i, 0, 0) for i in range(n - 1)]
+    heap = [(strength[i], i, 0, 0) for i in range(n - 1)]
     heapq.heapify(heap)
     while heap:
-        s, size, i, vi, vj = heapq.heappop(heap)
+        _, i, vi, vj = heapq.heappop(heap)
         j = right[i] if alive[i] else n
         if j >= n or version[i] != vi or version[j] != vj:
             continue
-        if size > room:
+        if end[j] - start[i] > (room if i else limit):
             continue  # sizes only grow: this boundary stays
-        end[i], strength_i = end[j], strength[j] if j < n - 1 else None
+        end[i] = end[j]
         alive[j] = False
         right[i] = right[j]
-        if right[i] < n:
-            left[right[i]] = i
-        if strength_i is not None:
-            strength[i] = strength_i
         version[i] += 1
         if right[i] < n:
-            k = right[i]
-            heapq.heappush(heap, (strength[i], end[k] - start[i], i, version[i], version[k]))
+            left[right[i]] = i
+            strength[i] = strength[j]
+            heapq.heappush(heap, (strength[i], i, version[i], version[right[i]]))
         if left[i] >= 0:
             k = left[i]
-            heapq.heappush(heap, (strength[k], end[i] - start[k], k, version[k], version[i]))
+            heapq.heappush(heap, (strength[k], k, version[k], version[i]))
     return [start[i] for i in range(n) if alive[i]] + [len(text)]
 
 
@@ -117,24 +117,27 @@ def limit_of(unit: Column, limits: dict[str, int]) -> Column:
 def split_oversized(
     df: DataFrame, key: str, text: str, unit: str, limits: dict[str, int] = LIMITS, overlap: int = OVERLAP
 ) -> DataFrame:
-    """The pieces of every oversized text: (key, piece_no, piece_count, piece_start, piece_end, piece_text)."""
+    """The pieces of every oversized text: (key, text_hash, piece_no, piece_count, piece_start, piece_end, piece_text).
+
+    text_hash (xxhash64) tells different texts under one key apart.
+    """
     kind = dict(df.dtypes)[key]
     long = (
         df.select(F.col(key).alias("k"), F.col(text).alias("t"), limit_of(F.col(unit), limits).alias("m"))
         .filter(F.length("t") > F.col("m"))
-        .groupBy("k", "m")
+        .groupBy("k", "m", F.xxhash64("t").alias("h"), F.xxhash64(F.lit(1), "t").alias("g"))
         .agg(F.min("t").alias("t"))
     )
 
     def run(c: dict[str, list]):
-        out = {n: [] for n in (key, "piece_no", "piece_count", "piece_start", "piece_end", "piece_text")}
-        for k, t, m in zip(c["k"], c["t"], c["m"]):
+        out = {n: [] for n in (key, "text_hash", "piece_no", "piece_count", "piece_start", "piece_end", "piece_text")}
+        for k, h, t, m in zip(c["k"], c["h"], c["t"], c["m"]):
             spans = pieces(t, m, overlap)
             for i, (a, b) in enumerate(spans):
-                for n, v in zip(out, (k, i, len(spans), a, b, t[a:b])):
+                for n, v in zip(out, (k, h, i, len(spans), a, b, t[a:b])):
                     out[n].append(v)
         yield out
 
     return arrow_map(
-        long, run, f"`{key}` {kind}, piece_no int, piece_count int, piece_start int, piece_end int, piece_text string"
+        long, run, f"`{key}` {kind}, text_hash long, piece_no int, piece_count int, piece_start int, piece_end int, piece_text string"
     )

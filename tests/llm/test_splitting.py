@@ -23,6 +23,22 @@ def test_strong_boundaries_stay():
     assert text.index("丁") in cuts
 
 
+def test_one_kind_of_boundary_fills_the_pieces():
+    sizes = [b - a for a, b in splitting.pieces("word " * 200, 320)]
+    assert sizes == [320, 319, 319, 234] and len(sizes) == -(-(1000 - 64) // (320 - 64))
+
+
+def test_different_texts_under_one_id(spark):
+    one, two = "甲，" * 200, "乙。" * 300
+    df = spark.createDataFrame([("a", one, "semantic_child"), ("a", two, "semantic_child"), ("a", one, "semantic_child")], "id string, t string, u string")
+    got = splitting.split_oversized(df, "id", "t", "u").collect()
+    by = {}
+    for r in sorted(got, key=lambda r: r["piece_no"]):
+        by.setdefault(r["text_hash"], []).append(r)
+    whole = lambda rows: rows[0]["piece_text"] + "".join(r["piece_text"][splitting.OVERLAP :] for r in rows[1:])
+    assert sorted(map(whole, by.values())) == sorted([one, two])
+
+
 def test_operator_on_odd_rows(spark):
     long = "词，" * 400
     rows = [
