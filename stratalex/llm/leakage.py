@@ -7,11 +7,16 @@ characters skips positions where no pattern can end, a suffix bucket chooses the
 comparison confirms one. A confirmed block is extended to both sides in the quote and in the document, so a result is
 exact: no run is missed and none is invented.
 
-The documents stream through map tasks, unsplit and unshuffled; only the patterns go to all tasks. Their size is
-checked: beyond MAX_PATTERNS they are handled in several groups of bounded size, one pass each.
+The documents stream through map tasks, unsplit and unshuffled; only the patterns are broadcast. Their size is
+checked: beyond MAX_PATTERNS they are handled in several groups of bounded size, one pass each. The rows found, a few
+numbers for each leak, are merged by (document, item) in any case, so that their number does not depend on the groups.
 
-Defined cases: null texts, quotes and citation lists match nothing; quotes shorter than `run` cannot leak; repeated
-documents are reported each; an item with several quotes gives one row with its longest run.
+Only letters and digits (categories L and N) are compared, as the problem defines it: vowel signs of Indic scripts and
+Thai (category M) fall out on both sides.
+
+Defined cases: null texts, quotes and citation lists match nothing; quotes shorter than `run` cannot leak; rows of one
+document key are one document and give one row with the longest run found in any of them; an item with several quotes
+gives one row with its longest run.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ from stratalex.llm.common import arrow_map
 RUN = 40
 BLOCK = 4
 MAX_PATTERNS = 500_000
+#: Quotes of a held-out set that may be collected to the driver.
+MAX_ITEM_QUOTES = 1_000_000
 _DROP = regex.compile(r"[^\p{L}\p{N}]+")
 
 
@@ -122,12 +129,13 @@ def leaked(
         size += n
     kind = dict(docs.dtypes)[key]
     source = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.length("t") >= run // 4)
-    results = []
+    found = None
     for group in groups:
+        sent = docs.sparkSession.sparkContext.broadcast(group)
 
-        def go(c: dict[str, list], group=group, run=run, held={}):  # noqa: B006
+        def go(c: dict[str, list], sent=sent, run=run, held={}):  # noqa: B006
             if "q" not in held:
-                held["q"] = Quotes(group, run)
+                held["q"] = Quotes(sent.value, run)
             quotes = held["q"]
             out: dict[str, list] = {n: [] for n in (key, "item_id", "shared_run", "quote_length", "whole")}
             for k, t in zip(c["k"], c["t"]):
@@ -136,18 +144,17 @@ def leaked(
                         out[n].append(v)
             yield out
 
-        results.append(arrow_map(source, go, f"`{key}` {kind}, item_id int, shared_run int, quote_length int, whole boolean"))
-    found = results[0]
-    for r in results[1:]:
-        found = found.unionByName(r)
-    if len(results) == 1:
-        return found
-    return found.groupBy(key, "item_id").agg(
-        F.max("shared_run").alias("shared_run"), F.max_by("quote_length", "shared_run").alias("quote_length"), F.max("whole").alias("whole")
-    )
-
-
-def item_quotes(items: DataFrame) -> list[tuple[int, str]]:
-    """(item_id, quote) of a held-out set: a fixed table of test items, not one that grows with the corpus."""
-    rows = items.select("item_id", F.explode("expected_citations").alias("c")).select("item_id", "c.quote").collect()
-    return [(r["item_id"], r["quote"]) for r in rows if r["quote"]]
+        rows = arrow_map(source, go, f"`{key}` {kind}, item_id int, shared_run int, quote_length int, whole boolean")
+        found = rows if found is None else found.unionByName(rows)
+    best = F.max_by("quote_length", F.struct("shared_run", "quote_length"))
+    return found.groupBy(key, "item_id").agg(F.max("shared_run").alias("shared_run"), best.alias("quote_length"), F.max("whole").alias("whole"))
+
+
+def item_quotes(items: DataFrame, most: int = MAX_ITEM_QUOTES) -> list[tuple[int, str]]:
+    """(item_id, quote) of a held-out set. It is counted first: a set of more than `most` quotes is refused, since the
+    search holds its patterns on the driver and in each task."""
+    rows = items.select("item_id", F.explode("expected_citations").alias("c")).select("item_id", "c.quote").filter(F.length("quote") > 0).distinct()
+    n = rows.count()
+    if n > most:
+        raise ValueError(f"{n} quotes; call leaked() for parts of at most {most}")
+    return [(r["item_id"], r["quote"]) for r in rows.collect()]

@@ -38,6 +38,24 @@ def test_against_brute_force(spark):
     assert m.leaked(df, "id", "t", []).count() == 0 and m.leaked(df.limit(0), "id", "t", items).count() == 0
 
 
+def test_rows_do_not_depend_on_the_groups(spark):
+    items = [(1, "a" * 30 + "b" * 30), (1, "c" * 90), (2, "c" * 50)]
+    docs = [(1, "x" + "a" * 30 + "b" * 20), (1, "c" * 200), (1, "c" * 200), (2, "C" * 60), (2, "C" * 60)]
+    df = spark.createDataFrame(docs, "id long, t string")
+    rows = lambda n: sorted(tuple(r) for r in m.leaked(df, "id", "t", items, max_patterns=n).collect())
+    assert rows(1) == rows(m.MAX_PATTERNS) == [(1, 1, 90, 90, True), (1, 2, 50, 50, True), (2, 1, 60, 90, False), (2, 2, 50, 50, True)]
+
+
+def test_too_many_quotes_are_refused(spark):
+    items = spark.createDataFrame([(i, [("s", 1, f"quote {i}", "a")]) for i in range(3)], "item_id int, expected_citations array<struct<source string, citation_page int, quote string, article string>>")
+    assert len(m.item_quotes(items)) == 3
+    try:
+        m.item_quotes(items, 2)
+    except ValueError:
+        return
+    raise AssertionError
+
+
 def test_search_finds_every_occurrence():
     rng = random.Random(4)
     for _ in range(50):
