@@ -2,16 +2,36 @@
 
 from __future__ import annotations
 
-from stratalex.llm.lookalikes import shape_map
+import unicodedata
+from functools import cache
+
+from stratalex.llm.lookalikes import _code_points, shape
 
 
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+@cache
 def _form(x: str) -> str:
-    a, b = shape_map()
-    return f"nfc_normalize(translate({x}, {_q(a)}, {_q(b)}))"
+    """SQL for the shape of a value: composed, every sign replaced by its shape, composed again."""
+    one, several, drop = {}, {}, []
+    for cp in (0x09, *_code_points()):
+        ch = chr(cp)
+        to = shape(ch)
+        if unicodedata.normalize("NFC", ch) != ch or to == ch:
+            continue
+        if not to:
+            drop.append(ch)
+        elif len(to) == 1:
+            one[ch] = to
+        else:
+            several[ch] = to
+    wide = f"nfc_normalize({x})"
+    for ch, to in several.items():
+        wide = f"replace({wide}, {_q(ch)}, {_q(to)})"
+    some = f"CASE WHEN regexp_matches(nfc_normalize({x}), {_q('[' + ''.join(several) + ']')}) THEN {wide} ELSE nfc_normalize({x}) END"
+    return f"nfc_normalize(translate({some}, {_q(''.join(one) + ''.join(drop))}, {_q(''.join(one.values()))}))"
 
 
 P1_FOUND = """

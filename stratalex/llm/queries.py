@@ -30,17 +30,19 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_shared(spark, sf_dir).filter(F.col("longest_span") >= shared_spans.LEAST).select("paragraph_id").distinct()
 
 
-def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lookalikes(spark: SparkSession, sf_dir: str, canonical: bool) -> DataFrame:
     records = table(spark, sf_dir, "records")
-    texts = lookalikes.lookalike_texts(records, "paragraph_id", "paragraph_text")
-    titles = lookalikes.lookalike_titles(records, "paragraph_id", "article", "source", table(spark, sf_dir, "article_map"))
-    return texts.select("paragraph_id", F.lit("paragraph_text").alias("field_name"), "canonical").unionByName(
-        titles.select("paragraph_id", F.lit("article").alias("field_name"), "canonical")
-    )
+    texts = lookalikes.lookalike_texts(records, "paragraph_id", "paragraph_text", canonical)
+    titles = lookalikes.lookalike_titles(records, "paragraph_id", "article", "source", table(spark, sf_dir, "article_map"), canonical)
+    return texts.withColumn("field_name", F.lit("paragraph_text")).unionByName(titles.withColumn("field_name", F.lit("article")))
+
+
+def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lookalikes(spark, sf_dir, True)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p3_canonical(spark, sf_dir).select("paragraph_id", "field_name").distinct()
+    return _lookalikes(spark, sf_dir, False).distinct()
 
 
 def p4_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
