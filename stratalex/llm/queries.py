@@ -46,13 +46,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = table(spark, sf_dir, "records").filter("page_type = 'body' and text_source = 'pdf_text_layer'")
-    return sentences.sentences(body, "paragraph_id", "paragraph_text").distinct()
+    return sentences.sentences(table(spark, sf_dir, "records").filter("page_type = 'body'"), "paragraph_id", "paragraph_text").distinct()
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = table(spark, sf_dir, "records").filter("page_type = 'body' and text_source = 'pdf_text_layer'")
-    return sentences.sentences(body, "paragraph_id", "paragraph_text").select("paragraph_id", "end_pos").distinct()
+    body = table(spark, sf_dir, "records").filter("page_type = 'body'")
+    words = sentences.corpus_words(body, "paragraph_text")
+    layer = body.filter("text_source = 'pdf_text_layer'")  # as p4_found is defined
+    return sentences.sentences(layer, "paragraph_id", "paragraph_text", words).select("paragraph_id", "end_pos").distinct()
 
 
 def _body(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
+import time
+
 import pytest
 
-from stratalex.llm.sentences import sentence_ends, sentences
+from stratalex.llm.sentences import PRIOR, corpus_words, sentence_ends, sentences
 
 
 def cut(text):
@@ -52,3 +54,32 @@ def test_operator(spark):
     by = {k: sorted(r["end_pos"] for r in got if r["id"] == k) for k in "abcdefg"}
     assert by["a"] == [2, 4] and by["b"] == by["c"] == by["d"] == [] and by["e"] == [50_000] and by["f"] == [6000] and by["g"]
     assert sentences(df.limit(0), "id", "t").count() == 0
+
+
+def test_joint_scores():
+    assert cut("See Prop. 3 of the text.") == ["See Prop. 3 of the text."]
+    assert cut("U.S. The end.") == ["U.S.", "The end."]
+    assert cut("The U.S. Army came. It left.") == ["The U.S. Army came.", "It left."]
+
+
+def test_time_is_in_proportion_to_the_text():
+    text = "This is the plain sentence number one of the text. " * 4000
+    began = time.time()
+    assert len(sentence_ends(text)) == 4000
+    assert time.time() - began < 2
+    long = ("Er schrieb „So ist es“ (so. gut. es. geht) und ging usw. in das Haus. " * 16000)[:1_100_000]
+    began = time.time()
+    assert len(sentence_ends(long)) > 10_000
+    assert time.time() - began < 20
+
+
+def test_weights_come_from_the_rows(spark):
+    """A word whose points never end a text and stand before small letters is an abbreviation, listed or not."""
+    rows = [(str(i), f"The xyl. of the town and the xyl. of field {w} stand near the old river. The fair goes on here.") for i, w in enumerate("abcdefghij" * 6)]
+    rows.append(("probe", "They saw the xyl. Barton of the town. It was old."))
+    df = spark.createDataFrame(rows, "id string, t string")
+    ends = lambda words: sorted(r["sentence"] for r in sentences(df, "id", "t", words).filter("id = 'probe'").collect())
+    assert ends(None) == ["It was old.", "They saw the xyl. Barton of the town."]
+    assert ends(PRIOR) == ["Barton of the town.", "It was old.", "They saw the xyl."]
+    learned = corpus_words(df, "t")
+    assert learned.closing("xyl") < 0 < learned.closing("river") and learned.lengths[0] != PRIOR.lengths[0]
