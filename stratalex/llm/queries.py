@@ -30,6 +30,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_shared(spark, sf_dir).filter(F.col("longest_span") >= shared_spans.LEAST).select("paragraph_id").distinct()
 
 
+def p2_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans.without_shared(table(spark, sf_dir, "records"), "paragraph_id", "paragraph_text")
+
+
 def _lookalikes(spark: SparkSession, sf_dir: str, canonical: bool) -> DataFrame:
     records = table(spark, sf_dir, "records")
     texts = lookalikes.lookalike_texts(records, "paragraph_id", "paragraph_text", canonical)
@@ -86,6 +90,10 @@ def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill(p7_packed(spark, sf_dir))
+
+
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     quotes = leakage.item_quotes(table(spark, sf_dir, "eval_items"))
     return leakage.leaked(table(spark, sf_dir, "documents"), "doc_id", "text", quotes)
@@ -108,7 +116,7 @@ def p9_share_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_shared, p3_found, p3_canonical, p4_found, p4_sentences, p5_found, p5_paragraphs, p6_found, p6_pairs, p6_groups, p7_packed, p8_found, p8_leaks, p9_found, p9_cut, p9_share_by_source)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_shared, p2_cleaned, p3_found, p3_canonical, p4_found, p4_sentences, p5_found, p5_paragraphs, p6_found, p6_pairs, p6_groups, p7_packed, p7_fill, p8_found, p8_leaks, p9_found, p9_cut, p9_share_by_source)}
 
 
 def oracle_sql() -> dict[str, str]:

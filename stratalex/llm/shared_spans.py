@@ -15,6 +15,9 @@ choose the same least hash in it: an anchor. Texts meet only where they share an
 The automata are held by the tasks to which their shard is routed, not broadcast: together they would be as large as
 the shared part of the corpus.
 
+without_shared() removes the spans: every code point of a text that stands in a span which a text of a lesser id also
+holds. The text of the least id loses nothing, so one copy of every span is kept.
+
 Defined cases: null texts and texts shorter than `least` share nothing; a text that repeats itself shares nothing with
 itself; records of equal text share it whole; repeated rows of a key count once.
 """
@@ -206,11 +209,12 @@ class SuffixAutomaton:
         return out
 
 
-def shard_matches(rows: list[tuple[int, int, str]], least: int = LEAST) -> Iterator[tuple[int, int, int]]:
-    """(text id, from, to) of what the surroundings in one shard share across texts.
+def shard_matches(rows: list[tuple[tuple[int, int], int, str]], least: int = LEAST) -> Iterator[tuple[int, int, int, bool]]:
+    """(text id, from, to, whether a text of a lesser id has it) of what the surroundings in one shard share across texts.
 
-    rows: (text id, offset of the surroundings in the text, surroundings). Texts are streamed in turn; the surroundings
-    of one text join the automaton only after all of them went through it.
+    rows: ((text id, number), offset of the surroundings in the text, surroundings); different numbers make different
+    texts of one id. Texts are streamed in the order of their ids; the surroundings of one text join the automaton only
+    after all of them went through it.
     """
     if len(rows) < 2:
         return
@@ -221,11 +225,11 @@ def shard_matches(rows: list[tuple[int, int, str]], least: int = LEAST) -> Itera
         j = i
         while j < len(rows) and rows[j][0] == rows[i][0]:
             j += 1
-        for tid, at, s in rows[i:j]:
+        for (tid, _), at, s in rows[i:j]:
             for a, b, owner, end in sam.match(s, least):
-                tid2, at2, _ = held[owner]
-                yield tid, at + a, at + b
-                yield tid2, at2 + end - (b - a), at2 + end
+                (tid2, _), at2, _ = held[owner]
+                yield tid, at + a, at + b, tid2 < tid
+                yield tid2, at2 + end - (b - a), at2 + end, False
         if j < len(rows):
             for r in rows[i:j]:
                 sam.add(r[2], len(held))
@@ -234,7 +238,12 @@ def shard_matches(rows: list[tuple[int, int, str]], least: int = LEAST) -> Itera
 
 
 def spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """(tid, a, b): spans of the texts (tid, t) that stand in another text, overlapping ones not merged."""
+    """(tid, a, b, later): spans of the texts (tid, t) that stand in another text, overlapping ones not merged.
+
+    later: a text of a lesser id has the span as well.
+    """
+    if not gram < least <= 1000:
+        raise ValueError("spans of more than the gram and at most 1000 code points can be found")
     schema = pa.schema([("h", pa.int64()), ("s", pa.int64()), ("tid", pa.int64()), ("at", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +267,7 @@ def spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     pos, before, after = F.shiftright("at", 20), F.shiftright("at", 10).bitwiseAND(F.lit(1023)), F.col("at").bitwiseAND(F.lit(1023))
     seen = cut(found.join(_small(several), "h", "left_semi").select("h", "s", "tid", (pos - before).cast("int").alias("a"), (pos + after).cast("int").alias("b")))
     classes = cut(seen.groupBy("h", "s").agg(F.min(F.struct("tid", "a", "b")).alias("one"), F.max("tid").alias("hi")).select("h", "s", "one.*", (F.col("one.tid") != F.col("hi")).alias("equal")))
-    whole = seen.join(_small(classes.filter("equal").select("h", "s")), ["h", "s"], "left_semi").select("tid", "a", "b")
+    whole = seen.join(_small(classes.filter("equal").select("h", "s", F.col("tid").alias("first"))), ["h", "s"]).select("tid", "a", "b", (F.col("tid") != F.col("first")).alias("later"))
     # one text stands for equal surroundings; it counts as a text of its own, since others have them as well
     sizes = classes.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
     apart = cut(classes.join(_small(sizes), "h").select("h", "tid", "equal", "a", "b", "n"))
@@ -267,34 +276,30 @@ def spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     cutouts = cut(cutouts)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, str]] = []
-        back: dict[int, int] = {}
+        held: list[tuple[tuple[int, int], int, str]] = []
         last = None
 
-        def made(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in ((0, pa.int64()), (1, pa.int32()), (2, pa.int32()))], names=["tid", "a", "b"])
+        def made(rows: list[tuple[int, int, int, bool]]) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["tid", "a", "b", "later"])
 
-        def close() -> list[tuple[int, int, int]]:
-            out = [(back.get(t, t), a, b) for t, a, b in shard_matches(held, least)]
+        def close() -> list[tuple[int, int, int, bool]]:
+            out = list(shard_matches(held, least))
             held.clear()
-            back.clear()
             return out
 
         for batch in batches:
-            out: list[tuple[int, int, int]] = []
+            out: list[tuple[int, int, int, bool]] = []
             for h, t, equal, a, x in zip(*(c.to_pylist() for c in batch.columns)):
                 if h != last:
                     out.extend(close())
                     last = h
-                if equal:
-                    back[-(1 << 70) - len(held)] = t
-                    t = -(1 << 70) - len(held)
-                held.append((t, a, x))
+                held.append(((t, len(held) + 1 if equal else 0), a, x))
             yield made(out)
         yield made(close())
 
     shards = cutouts.filter(F.col("n") <= SHARD).select("h", "tid", "equal", "a", "x")
-    matched = shards.repartition("h").sortWithinPartitions("h").mapInArrow(go, "tid long, a int, b int")
+    matched = shards.repartition("h").sortWithinPartitions("h").mapInArrow(go, "tid long, a int, b int, later boolean")
     return whole.unionByName(matched).unionByName(_hot_runs(cutouts.filter(F.col("n") > SHARD), least))
 
 
@@ -305,7 +310,7 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _hot_runs(cutouts: DataFrame, least: int) -> DataFrame:
-    """(tid, a, b) of the runs that the surroundings of an anchor with very many of them share.
+    """(tid, a, b, later) of the runs that the surroundings of an anchor with very many of them share.
 
     Each run of `least` around the anchor is a row with its hash; runs of several texts are found by partial sums, so
     neither an automaton nor a group of rows grows with the anchor. At most least - GRAM + 1 runs hold an anchor.
@@ -315,26 +320,61 @@ def _hot_runs(cutouts: DataFrame, least: int) -> DataFrame:
         F.explode(F.sequence(F.lit(0), F.length("x") - least)).alias("i"),
     )
     keyed = runs.select("h", F.xxhash64(F.substring("x", F.col("i") + 1, F.lit(least))).alias("run"), "who", "tid", (F.col("a") + F.col("i")).alias("a"))
-    shared = keyed.groupBy("h", "run").agg(F.min("who").alias("lo"), F.max("who").alias("hi")).filter("lo <> hi").select("h", "run")
-    return keyed.join(shared, ["h", "run"], "left_semi").select("tid", "a", (F.col("a") + least).cast("int").alias("b"))
+    shared = keyed.groupBy("h", "run").agg(F.min("who").alias("lo"), F.max("who").alias("hi")).filter("lo <> hi").select("h", "run", "lo")
+    later = (F.col("tid") != F.col("lo.tid")).alias("later")
+    return keyed.join(shared, ["h", "run"]).select("tid", "a", (F.col("a") + least).cast("int").alias("b"), later)
 
 
-def merged(found: DataFrame) -> DataFrame:
-    """(tid, shared_chars, longest_span, n_spans): the union of the spans of each text, by SQL windows."""
+def islands(found: DataFrame) -> DataFrame:
+    """(tid, a, b): the union of the spans of each text, by SQL windows."""
     order = Window.partitionBy("tid").orderBy("a", F.desc("b"))
     reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    s = found.distinct().withColumn("reach", reach).withColumn("new", F.when(F.col("reach").isNull() | (F.col("a") > F.col("reach")), 1).otherwise(0))
+    s = found.select("tid", "a", "b").distinct().withColumn("reach", reach).withColumn("new", F.when(F.col("reach").isNull() | (F.col("a") > F.col("reach")), 1).otherwise(0))
     s = s.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    one = s.groupBy("tid", "island").agg((F.max("b") - F.min("a")).alias("size"))
+    return s.groupBy("tid", "island").agg(F.min("a").alias("a"), F.max("b").alias("b")).select("tid", "a", "b")
+
+
+def merged(found: DataFrame) -> DataFrame:
+    """(tid, shared_chars, longest_span, n_spans) of the spans of each text."""
+    one = islands(found).select("tid", (F.col("b") - F.col("a")).alias("size"))
     return one.groupBy("tid").agg(F.sum("size").alias("shared_chars"), F.max("size").alias("longest_span"), F.count("*").alias("n_spans"))
 
 
-def shared_text(df: DataFrame, key: str, text: str, quotes: DataFrame, quote: str, least: int = LEAST) -> DataFrame:
-    """(key, n_chars, shared_chars, longest_span, shared_part) of every row whose text shares a span."""
+def _texts(df: DataFrame, key: str, text: str, quotes: DataFrame | None, quote: str, least: int) -> tuple[DataFrame, DataFrame]:
+    """(k, t, tid) of the rows, and (tid, t) of them and the quotes."""
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("tid")).filter(F.length("t") >= least)
+    if quotes is None:
+        return rows, rows.select("tid", "t")
     # a quote has an id of its own, also where a record has the same text
     q = quotes.select(F.xxhash64(F.lit("quote"), F.col(quote)).alias("tid"), F.col(quote).alias("t")).filter(F.length("t") >= least).distinct()
-    texts = rows.select("tid", "t").unionByName(q)
+    return rows, rows.select("tid", "t").unionByName(q)
+
+
+def without_shared(df: DataFrame, key: str, text: str, least: int = LEAST) -> DataFrame:
+    """(key, n_chars, removed_chars, cleaned) of every row that loses something: its text without the spans of which
+    another text keeps the copy, the rest joined by line feeds; of equal texts the row of the least key keeps it whole.
+
+    Rows that are not listed stay as they are.
+    """
+    rows, texts = _texts(df, key, text, None, "", least)
+    held = islands(spans(texts, least).filter("later")).groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("holes"))
+    first = rows.groupBy("tid").agg(F.min("k").alias("first"), F.max("k").alias("last"))
+    lost = first.join(held, "tid", "left").filter("holes is not null or first <> last")
+    each = rows.join(_small(lost), "tid").groupBy("k", "tid").agg(F.min("t").alias("t"), F.first("first").alias("first"), F.first("holes").alias("holes"))
+    n = F.size("holes")
+    start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.element_at("holes", i)["b"])
+    stop = lambda i: F.when(i == n, F.length("t")).otherwise(F.element_at("holes", i + 1)["a"])
+    piece = lambda i: F.col("t").substr(start(i) + 1, stop(i) - start(i))
+    kept = F.array_join(F.array_remove(F.transform(F.sequence(F.lit(0), n), piece), ""), "\n")
+    removed = F.aggregate("holes", F.lit(0), lambda s, h: s + h["b"] - h["a"])
+    copy = F.col("k") != F.col("first")
+    out = each.select("k", F.length("t").alias("n_chars"), F.when(copy, F.length("t")).otherwise(removed).alias("removed_chars"), F.when(copy, F.lit("")).otherwise(kept).alias("cleaned"))
+    return out.filter("removed_chars > 0").select(F.col("k").alias(key), "n_chars", "removed_chars", "cleaned")
+
+
+def shared_text(df: DataFrame, key: str, text: str, quotes: DataFrame, quote: str, least: int = LEAST) -> DataFrame:
+    """(key, n_chars, shared_chars, longest_span, shared_part) of every row whose text shares a span."""
+    rows, texts = _texts(df, key, text, quotes, quote, least)
     part = merged(spans(texts, least))
     keys = rows.select("k", "tid", F.length("t").alias("n_chars")).distinct()
     copies = keys.groupBy("tid").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo <> hi").select("tid", F.lit(True).alias("copied"))

@@ -84,3 +84,36 @@ def test_every_run_has_a_common_anchor():
     a, b = "x" * 50 + run + "y" * 50, "z" * 7 + run + "w" * 9
     ha, hb = (set(m.anchors([t])[2].tolist()) for t in (a, b))
     assert ha & hb
+
+
+def test_spans_are_removed_but_for_one_copy(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    texts = made(rng, 120)
+    texts["same1"] = texts["same2"] = "".join(rng.choice("xyz") for _ in range(90))
+    rows = [*texts.items(), ("p1", texts["p1"]), ("none", None), ("empty", "")]
+    df = spark.createDataFrame([(*r, 5) for r in rows], "id string, t string, tid int")
+    got = {r["id"]: (r["removed_chars"], r["cleaned"]) for r in m.without_shared(df, "id", "t").collect()}
+    tid = {r["id"]: r["h"] for r in df.select("id", F.xxhash64("t").alias("h")).collect()}
+    where = {}
+    for k, t in texts.items():
+        for i in range(len(t) - 63):
+            where.setdefault(t[i : i + 64], set()).add(tid[k])
+    want = {}
+    for k, t in texts.items():
+        hit = {p for i in range(len(t) - 63) if min(where[t[i : i + 64]]) < tid[k] for p in range(i, i + 64)}
+        if hit:
+            pieces = "".join("\n" if p in hit else t[p] for p in range(len(t))).split("\n")
+            want[k] = (len(hit), "\n".join(x for x in pieces if x))
+    want["same2"] = (90, "")
+    assert got == want
+    assert m.without_shared(df.limit(0), "id", "t").count() == 0
+
+
+def test_lengths_beyond_the_packed_reach_are_refused(spark):
+    try:
+        m.spans(spark.createDataFrame([], "tid long, t string"), 1500)
+    except ValueError:
+        return
+    raise AssertionError
