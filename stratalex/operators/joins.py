@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from stratalex.functions import text as T
 from stratalex.operators import intervals as I
@@ -32,9 +33,60 @@ def narrowest_interval(points: DataFrame, intervals: DataFrame, key: str, on: st
     return points.join(best.select(key, *extra), key, how)
 
 
-def containing(large: DataFrame, small: DataFrame, held: Column) -> DataFrame:
-    """Theta join on containment: the small side is a dimension whose size is checked before it is broadcast."""
-    return large.join(I.dimension(small), held)
+def containing(large: DataFrame, text: str, small: DataFrame, needle: str, block: int = I.DIMENSION_ROWS) -> DataFrame:
+    """The rows of large joined to those of small whose needle their text contains.
+
+    One Aho-Corasick automaton over all needles reads each text once, in Arrow batches and without a shuffle, so the work
+    grows with the texts, not with texts times needles. The needles go out in blocks of at most `block`, one pass
+    each. Null and empty needles and null texts match nothing; column names must not clash.
+    """
+    import pyarrow as pa
+
+    rows: list = []
+    out: DataFrame | None = None
+    spark = large.sparkSession
+
+    def against(rows: list) -> DataFrame:
+        sent = spark.sparkContext.broadcast([r[needle] for r in rows])
+        names = large.columns
+        at = names.index(text)
+
+        def search(batches):
+            import ahocorasick
+
+            places: dict[str, list[int]] = {}
+            for i, x in enumerate(sent.value):
+                places.setdefault(x, []).append(i)
+            automaton = ahocorasick.Automaton()
+            for x, i in places.items():
+                automaton.add_word(x, i)
+            if places:
+                automaton.make_automaton()
+            for batch in batches:
+                found = []
+                for t in batch.column(at).to_pylist():
+                    seen: set[int] = set()
+                    if t and places:
+                        for _, i in automaton.iter(t):
+                            seen.update(i)
+                    found.append(sorted(seen))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=[*names, "_needles"])
+
+        schema = StructType([*large.schema.fields, StructField("_needles", ArrayType(IntegerType()))])
+        numbered = StructType([StructField("_needle", IntegerType()), *small.schema.fields])
+        held = large.mapInArrow(search, schema).withColumn("_needle", F.explode("_needles")).drop("_needles")
+        return held.join(F.broadcast(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], numbered)), "_needle").drop("_needle")
+
+    for r in small.filter(F.length(needle) > 0).toLocalIterator():
+        rows.append(r)
+        if len(rows) == block:
+            part = against(rows)
+            out = part if out is None else out.unionByName(part)
+            rows = []
+    if rows or out is None:
+        part = against(rows)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def gram_candidates(pages: DataFrame, page: str, text: Column, quotes: DataFrame, quote: str, needle: Column, top: int) -> DataFrame:
@@ -83,12 +135,3 @@ def levels(parents: DataFrame, key: str, passes: int = 4, cap: int = 6) -> DataF
 def known_only_once(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value) of the keys that have exactly one distinct value."""
     return df.groupBy(key).agg(F.count_distinct(value).alias("_n"), F.min(value).alias(value)).filter("_n = 1").drop("_n")
-
-
-def first_match(df: DataFrame, key: list[str], ordinal: str) -> DataFrame:
-    """The match of the lowest ordinal of each key."""
-    return R.first_per(df, key, [F.asc(ordinal)])
-
-
-def running(df: DataFrame, part: list[str], order: list[str]):
-    return Window.partitionBy(*part).orderBy(*order)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stratalex.functions import ids as K
@@ -9,10 +10,11 @@ from stratalex.functions import text as T
 from stratalex.operators import aggregates as A
 from stratalex.operators import filters as P
 from stratalex.operators import intervals as I
+from stratalex.operators import joins as J
 from stratalex.operators import ranking as R
 from stratalex.operators import segments as G
 from stratalex.plans.base import (
-    CIT_SQL, ENT_SQL, FRONT, HITS_SQL, MOJIBAKE, POLLUTION, Q_SQL, R_SQL, UNITS, citations, entries, hits, narrow, questions, records, requests, sq, sql_compact,
+    BODY_SQL, CIT_SQL, ENT_SQL, FRONT, HITS_SQL, MOJIBAKE, POLLUTION, Q_SQL, R_SQL, UNITS, body, citations, entries, hits, narrow, questions, records, requests, sq, sql_compact,
     sql_label, sql_list, sql_tokens,
 )
 from stratalex.plans.catalog import query
@@ -20,12 +22,8 @@ from stratalex.session import table
 
 _POLL_SQL = "CASE " + " ".join(f"WHEN contains({sql_label('article')}, {sq(p)}) THEN {sq(p)}" for p in POLLUTION) + " END"
 _MOJI_SQL = "(" + " OR ".join(f"contains(coalesce(paragraph_text, ''), {sq(m)})" for m in MOJIBAKE) + ")"
+#: Placeholders for a missing title (fixed values).
 UNKNOWN = ["未知", "未知篇名", "未识别", "未识别篇名", "unknown", "n/a", "none"]
-BODY_SQL = "b AS (SELECT paragraph_id, source, paragraph_text FROM r WHERE page_type = 'body' AND paragraph_text IS NOT NULL)"
-
-
-def body(spark, d):
-    return table(spark, d, "records").filter("page_type = 'body' and paragraph_text is not null").select("paragraph_id", "source", "paragraph_text").distinct()
 
 
 @query(
@@ -49,8 +47,8 @@ def a02(spark, d):
 def a03(spark, d):
     b = body(spark, d)
     df = b.select(T.exploded(F.array_distinct(T.tokens("paragraph_text")), "term")).filter("term is not null").groupBy("term").agg(F.count("*").alias("df"))
-    n = b.agg(F.count("*").alias("n"))
-    return df.filter("df >= 5").crossJoin(F.broadcast(n)).filter("df <= 0.6D * n").agg(F.count("*").alias("terms"), F.sum("df").alias("postings"))
+    n = table(spark, d, "records").filter("page_type = 'body' and paragraph_text is not null").select("paragraph_id").distinct().count()
+    return df.filter(f"df >= 5 and df <= 0.6D * {n}").agg(F.count("*").alias("terms"), F.sum("df").alias("postings"))
 
 
 _UNIT_SQL = f"lower(trim(coalesce(retrieval_unit, 'paragraph'))) IN {sql_list(UNITS)}"
@@ -227,25 +225,48 @@ _CHUNK_SQL = """ch AS (SELECT paragraph_id, length(paragraph_text) AS n, i AS ch
 
 @query(
     "a17_chunk_layout",
-    f"""WITH {R_SQL}, {BODY_SQL}, {_CHUNK_SQL}, p AS (SELECT paragraph_id, max(n) AS n, count(*) AS k, sum(e - s) AS stored, max(e) AS covered FROM ch GROUP BY 1)
-  SELECT CAST(sum(k) AS BIGINT) AS chunks, round(sum(covered)::DOUBLE / sum(n), 6) AS coverage, CAST(sum(stored) - sum(n) AS BIGINT) AS duplicated, round(sum(stored)::DOUBLE / sum(n), 6) AS multiplier FROM p""",
+    f"""WITH {R_SQL}, {BODY_SQL}, {_CHUNK_SQL}, o AS (SELECT *, coalesce(max(e) OVER (PARTITION BY paragraph_id ORDER BY child_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pre FROM ch),
+  p AS (SELECT paragraph_id, count(*) AS k, sum(e - s) AS stored, sum(greatest(0, e - greatest(s, pre))) AS covered, sum(greatest(0, s - pre)) AS gaps FROM o GROUP BY 1),
+  x AS (SELECT length(b.paragraph_text) AS n, coalesce(k, 0) AS k, coalesce(stored, 0) AS stored, coalesce(covered, 0) AS covered, coalesce(gaps, 0) AS gaps FROM b LEFT JOIN p USING (paragraph_id) WHERE length(b.paragraph_text) > 0)
+  SELECT CAST(sum(k) AS BIGINT) AS chunks, round(sum(covered)::DOUBLE / sum(n), 6) AS coverage, CAST(sum(stored) - sum(covered) AS BIGINT) AS duplicated, round(sum(stored)::DOUBLE / sum(n), 6) AS multiplier,
+    CAST(sum(n) - sum(covered) AS BIGINT) AS orphans, CAST(count(*) FILTER (WHERE covered < n OR gaps > 0) AS BIGINT) AS texts_with_orphans FROM x""",
 )
 def a17(spark, d):
     c = G.chunked(body(spark, d), "paragraph_id", "paragraph_text")
-    p = c.groupBy("paragraph_id").agg(F.count("*").alias("k"), F.sum(F.col("end") - F.col("start")).alias("stored"), F.max("end").alias("n"))
-    return p.agg(F.sum("k").alias("chunks"), F.lit(1.0).alias("coverage"), (F.sum("stored") - F.sum("n")).alias("duplicated"), F.round(F.sum("stored") / F.sum("n"), 6).alias("multiplier"))
+    # what a chunk covers beyond all chunks before it; what it leaves out before its start is an orphan
+    before = F.coalesce(F.max("end").over(Window.partitionBy("paragraph_id").orderBy("child_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    c = c.select("paragraph_id", "start", "end", F.greatest(F.lit(0), F.col("end") - F.greatest("start", before)).alias("fresh"), F.greatest(F.lit(0), F.col("start") - before).alias("gap"))
+    p = c.groupBy("paragraph_id").agg(F.count("*").alias("k"), F.sum(F.col("end") - F.col("start")).alias("stored"), F.sum("fresh").alias("covered"), F.sum("gap").alias("gaps"))
+    n = body(spark, d).select("paragraph_id", F.length("paragraph_text").alias("n")).filter("n > 0")
+    p = n.join(p, "paragraph_id", "left").na.fill(0, ["k", "stored", "covered", "gaps"])
+    whole = F.sum("n")
+    return p.agg(
+        F.sum("k").alias("chunks"), F.round(F.sum("covered") / whole, 6).alias("coverage"), (F.sum("stored") - F.sum("covered")).alias("duplicated"), F.round(F.sum("stored") / whole, 6).alias("multiplier"),
+        (whole - F.sum("covered")).alias("orphans"), F.count_if((F.col("covered") < F.col("n")) | (F.col("gaps") > 0)).alias("texts_with_orphans"),
+    )
 
 
 @query(
     "a18_quote_containment",
-    f"""WITH {CIT_SQL}, x AS (SELECT c.item_id, c.ord, bool_or(contains(coalesce(d.text, ''), c.quote)) AS exact FROM cit c LEFT JOIN documents d ON contains(coalesce(d.text, ''), substring(c.quote, 1, 24)) WHERE length(c.quote) >= 24 GROUP BY ALL)
-  SELECT CAST(count(*) AS BIGINT) AS evaluable, round(avg(CASE WHEN coalesce(exact, false) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS exact_rate FROM x""",
+    f"""WITH {CIT_SQL}, c AS (SELECT item_id, ord, quote FROM cit WHERE length(quote) >= 16), p AS (SELECT item_id, ord, quote, i, substring(quote, i, 16) AS s FROM (SELECT item_id, ord, quote, unnest(range(1, length(quote) - 14, 8)) AS i FROM c)),
+  d AS (SELECT text FROM documents WHERE text IS NOT NULL), f AS (SELECT p.item_id, p.ord, d.text, count(*)::DOUBLE / max(1 + (length(p.quote) - 16) // 8) AS part, bool_or(contains(d.text, p.quote)) AS exact FROM p JOIN d ON contains(d.text, p.s) GROUP BY p.item_id, p.ord, d.text),
+  m AS (SELECT item_id, ord, max(part) AS part, bool_or(exact) AS exact FROM f GROUP BY ALL), x AS (SELECT c.item_id, c.ord, coalesce(m.part, 0) AS part, coalesce(m.exact, false) AS exact FROM c LEFT JOIN m USING (item_id, ord))
+  SELECT CAST(count(*) AS BIGINT) AS evaluable, round(avg(CASE WHEN exact THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS exact_rate, round(avg(part), 6) AS mean_coverage, CAST(count(*) FILTER (WHERE part > 0 AND NOT exact) AS BIGINT) AS partly FROM x""",
 )
 def a18(spark, d):
-    c = citations(spark, d).filter(F.length("quote") >= 24).select("item_id", "ord", "quote")
-    docs = table(spark, d, "documents").filter("text is not null").select("text")
-    m = docs.join(I.dimension(c), F.contains("text", F.substring("quote", 1, 24))).groupBy("item_id", "ord").agg(F.max(F.contains("text", "quote")).alias("exact"))
-    return c.select("item_id", "ord").join(m, ["item_id", "ord"], "left").agg(F.count("*").alias("evaluable"), A.rate(F.col("exact")).alias("exact_rate"))
+    """A quote is cut into pieces of 16 code points at every eighth; the part of them that one text holds is its coverage."""
+    c = citations(spark, d).filter(F.length("quote") >= 16).select("item_id", "ord", "quote")
+    at = F.sequence(F.lit(1), F.length("quote") - 15, F.lit(8))
+    pieces = c.select("item_id", "ord", "quote", F.size(at).alias("pieces"), F.explode(at).alias("i")).withColumn("s", F.substring("quote", F.col("i"), F.lit(16)))
+    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", "text")
+    found = J.containing(docs, "text", pieces, "s").groupBy("doc_id", "item_id", "ord").agg(
+        (F.count_distinct("i") / F.max("pieces")).alias("part"), F.max(F.contains("text", "quote")).alias("exact")
+    )
+    m = found.groupBy("item_id", "ord").agg(F.max("part").alias("part"), F.max("exact").alias("exact"))
+    x = c.select("item_id", "ord").join(m, ["item_id", "ord"], "left").select(F.coalesce("part", F.lit(0.0)).alias("part"), F.coalesce("exact", F.lit(False)).alias("exact"))
+    return x.agg(
+        F.count("*").alias("evaluable"), A.rate(F.col("exact")).alias("exact_rate"), F.round(F.avg("part"), 6).alias("mean_coverage"), F.count_if((F.col("part") > 0) & ~F.col("exact")).alias("partly")
+    )
 
 
 @query(
@@ -256,7 +277,7 @@ def a18(spark, d):
 def a19(spark, d):
     tags = table(spark, d, "eval_items").select("item_id", F.explode("tags").alias("tag"))
     t = F.coalesce("paragraph_text", F.lit(""))
-    x = hits(spark, d).select("item_id", "paragraph_text").join(F.broadcast(tags), "item_id").groupBy("item_id").agg(F.max(F.contains(t, F.col("tag"))).alias("in_context"), F.avg(F.length(t)).alias("n"))
+    x = hits(spark, d).select("item_id", "paragraph_text").join(I.dimension(tags), "item_id").groupBy("item_id").agg(F.max(F.contains(t, F.col("tag"))).alias("in_context"), F.avg(F.length(t)).alias("n"))
     return x.agg(F.count("*").alias("items"), A.rate(F.col("in_context")).alias("term_rate"), F.round(F.avg("n"), 4).alias("avg_length"))
 
 

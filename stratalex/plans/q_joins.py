@@ -10,7 +10,10 @@ from stratalex.functions import text as T
 from stratalex.operators import intervals as I
 from stratalex.operators import joins as J
 from stratalex.operators import ranking as R
-from stratalex.plans.base import ASKED_SQL, CIT_SQL, ENT_SQL, HITS_SQL, R_SQL, citations, entries, hits, narrow, questions, records, sq, sql_grams, sql_label, sql_match
+from stratalex.plans.base import (
+    ASKED_SQL, CHANNELS_SQL, CIT_SQL, ENT_SQL, HITS_SQL, R_SQL, citations, entries, hits, narrow, questions, records, sq, sql_grams, sql_label, sql_match, text_channel,
+    title_channel,
+)
 from stratalex.plans.catalog import query
 from stratalex.session import table
 
@@ -114,31 +117,15 @@ def j06(spark, d):
     return narrow(spark, d, "source").join(I.dimension(e), "source", "left").select("paragraph_id", "series", "edition_id", "volume")
 
 
-_DENSE_SQL = "dense AS (SELECT item_id, paragraph_id, rank FROM hits WHERE rank <= 12)"
-_SPARSE_SQL = """sparse AS (SELECT item_id, paragraph_id, row_number() OVER (PARTITION BY item_id ORDER BY length(coalesce(paragraph_text, '')) DESC, paragraph_id) AS rank FROM hits
-  QUALIFY rank <= 8)"""
-_SPARSE_SQL = """sparse AS (SELECT * FROM (SELECT item_id, paragraph_id, row_number() OVER (PARTITION BY item_id ORDER BY length(coalesce(paragraph_text, '')) DESC, paragraph_id) AS rank FROM hits) WHERE rank <= 8)"""
-
-
-def _dense(h):
-    return h.filter("rank <= 12").select("item_id", "paragraph_id", "rank")
-
-
-def _sparse(h):
-    t = h.select("item_id", "paragraph_id", F.length(F.coalesce("paragraph_text", F.lit(""))).alias("n"))
-    return R.top_k(t, ["item_id"], [F.desc("n"), F.asc("paragraph_id")], 8)
-
-
 @query(
     "j07_hybrid_merge",
-    f"""WITH {HITS_SQL}, {_DENSE_SQL}, {_SPARSE_SQL} SELECT coalesce(a.item_id, b.item_id) AS item_id, coalesce(a.paragraph_id, b.paragraph_id) AS paragraph_id, a.rank AS dense_rank, b.rank AS sparse_rank,
+    f"""WITH {HITS_SQL}, {CHANNELS_SQL} SELECT coalesce(a.item_id, b.item_id) AS item_id, coalesce(a.paragraph_id, b.paragraph_id) AS paragraph_id, a.rank AS dense_rank, b.rank AS sparse_rank,
   round(coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce((CASE WHEN a.rank IS NOT NULL THEN 1.15::DOUBLE ELSE 0.72::DOUBLE END) / (55 + b.rank), 0), 6) AS score,
   CASE WHEN a.rank IS NOT NULL AND b.rank IS NOT NULL THEN 'fused' WHEN b.rank IS NOT NULL THEN 'sparse' ELSE 'dense' END AS tag
   FROM dense a FULL JOIN sparse b ON a.item_id = b.item_id AND a.paragraph_id = b.paragraph_id""",
 )
 def j07(spark, d):
-    h = hits(spark, d)
-    return J.hybrid_merge(_dense(h), _sparse(h), "item_id", "paragraph_id")
+    return J.hybrid_merge(title_channel(spark, d), text_channel(spark, d, 8), "item_id", "paragraph_id")
 
 
 @query(
@@ -190,7 +177,7 @@ def j11(spark, d):
     quote = part("quotes", 1, F.substring(T.match_form("x"), 1, 12), 12)
     alias = part("aliases", 2, T.match_form("x"), 3)
     keys = title.unionByName(quote).unionByName(alias).filter(F.length("k") >= F.col("least"))
-    found = J.containing(questions(spark, d).select("item_id", T.match_form("asked").alias("qn")), keys, F.contains("qn", "k"))
+    found = J.containing(questions(spark, d).select("item_id", T.match_form("asked").alias("qn")), "qn", keys, "k")
     return R.first_per(found, ["item_id"], [F.asc("stage"), F.length("k").desc(), F.asc("work_id")]).select("item_id", "work_id", "stage")
 
 
@@ -201,7 +188,7 @@ def j11(spark, d):
 )
 def j12(spark, d):
     k = table(spark, d, "core_classics").select("work_id", F.posexplode("aliases").alias("i", "a")).filter(F.length("a") >= 2)
-    m = J.containing(questions(spark, d).select("item_id", "asked"), k, F.contains("asked", "a"))
+    m = J.containing(questions(spark, d).select("item_id", "asked"), "asked", k, "a")
     return m.groupBy("item_id", "work_id").agg((F.max(F.when(F.col("i") == 0, 100).otherwise(10)) + 2 * F.count("*")).cast("long").alias("score")).filter("score >= 22")
 
 
@@ -213,9 +200,11 @@ def j12(spark, d):
 def j13(spark, d):
     a = table(spark, d, "article_map").select("entry_no", T.match_form("title").alias("ak"))
     c = table(spark, d, "core_classics").select("work_id", T.match_form("title").alias("ck"))
-    held = (F.col("ak") == F.col("ck")) | ((F.length("ck") >= 4) & F.contains("ak", "ck")) | ((F.length("ak") >= 6) & F.contains("ck", "ak"))
     rank = F.when(F.col("ak") == F.col("ck"), 0).when(F.endswith("ak", "ck"), 1).otherwise(2)
-    return J.containing(a, c, held).select("work_id", "entry_no", rank.alias("preference"))
+    entry_holds = J.containing(a, "ak", c.filter(F.length("ck") >= 4), "ck").select("entry_no", "ak", "work_id", "ck")
+    work_holds = J.containing(c, "ck", a.filter(F.length("ak") >= 6), "ak").select("entry_no", "ak", "work_id", "ck")
+    equal = a.join(c, F.col("ak") == F.col("ck")).select("entry_no", "ak", "work_id", "ck")
+    return entry_holds.unionByName(work_holds).unionByName(equal).distinct().select("work_id", "entry_no", rank.alias("preference"))
 
 
 @query(
@@ -225,7 +214,7 @@ def j13(spark, d):
 )
 def j14(spark, d):
     rules = table(spark, d, "article_map").select("entry_no", T.label("title").alias("t")).filter(F.length("t") >= 4)
-    m = J.containing(questions(spark, d).select("item_id", T.label("asked").alias("q")), rules, F.contains("q", "t"))
+    m = J.containing(questions(spark, d).select("item_id", T.label("asked").alias("q")), "q", rules, "t")
     k = R.top_k(m, ["item_id"], [F.length("t").desc(), F.asc("entry_no")], 8)
     return k.select("item_id", "entry_no", "rank", (F.count("*").over(Window.partitionBy("item_id")) > 1).alias("ambiguous"))
 
@@ -237,7 +226,7 @@ def j14(spark, d):
 def j15(spark, d):
     q = citations(spark, d).select("item_id", T.match_form("quote").alias("qn")).filter(F.length("qn") >= 12).distinct()
     n = table(spark, d, "documents").select("doc_id", T.match_form("text").alias("t")).filter(F.length("t") >= 12)
-    return J.containing(n, q, F.contains("t", "qn")).select("item_id", "doc_id").distinct()
+    return J.containing(n, "t", q, "qn").select("item_id", "doc_id").distinct()
 
 
 _BIG = "list_distinct(list_transform(range(1, length({0})), lambda i: substring({0}, i, 2)))"
@@ -334,15 +323,15 @@ def j22(spark, d):
 @query(
     "j23_expected_hit_rank",
     f"""WITH {HITS_SQL} SELECT h.item_id, min(CASE WHEN c.source = h.source THEN h.rank END) AS source_rank, min(CASE WHEN c.source = h.source AND abs(h.page - c.citation_page) <= 1 THEN h.rank END) AS page_rank,
-  min(CASE WHEN length(c.quote) >= 8 AND contains(h.paragraph_text, substring(c.quote, 1, 20)) THEN h.rank END) AS quote_rank FROM hits h JOIN cit c USING (item_id) GROUP BY h.item_id""",
+  min(CASE WHEN length(c.quote) >= 8 AND contains(h.paragraph_text, c.quote) THEN h.rank END) AS quote_rank FROM hits h JOIN cit c USING (item_id) GROUP BY h.item_id""",
 )
 def j23(spark, d):
     h = hits(spark, d).select("item_id", "rank", "page", "paragraph_text", F.col("source").alias("hs"))
-    m = h.join(F.broadcast(citations(spark, d)), "item_id")
+    m = h.join(I.dimension(citations(spark, d)), "item_id")
     same = F.col("source") == F.col("hs")
     return m.groupBy("item_id").agg(
         F.min(F.when(same, F.col("rank"))).alias("source_rank"), F.min(F.when(same & (F.abs(F.col("page") - F.col("citation_page")) <= 1), F.col("rank"))).alias("page_rank"),
-        F.min(F.when((F.length("quote") >= 8) & F.contains("paragraph_text", F.substring("quote", 1, 20)), F.col("rank"))).alias("quote_rank"),
+        F.min(F.when((F.length("quote") >= 8) & F.contains("paragraph_text", "quote"), F.col("rank"))).alias("quote_rank"),
     )
 
 

@@ -9,10 +9,13 @@ from stratalex.functions import text as T
 from stratalex.operators import aggregates as A
 from stratalex.operators import filters as P
 from stratalex.operators import intervals as I
+from stratalex.operators import joins as J
 from stratalex.operators import ranking as R
-from stratalex.plans.base import ASKED_SQL, CIT_SQL, ENT_SQL, HITS_SQL, R_SQL, citations, entries, hits, narrow, questions, sq, sql_label, sql_match, sql_tokens
+from stratalex.plans.base import (
+    BODY_SQL, CHANNELS_SQL, CIT_SQL, ENT_SQL, HITS_SQL, R_SQL, bm25_sql, body, citations, entries, hits, narrow, questions, sql_label, sql_match, text_channel, title_channel,
+)
 from stratalex.plans.catalog import query
-from stratalex.plans.q_aggregates import BODY_SQL, _METRIC_SQL, _RANKS_SQL, body, ranks
+from stratalex.plans.q_aggregates import _METRIC_SQL, _RANKS_SQL, ranks
 from stratalex.session import table
 
 _HAY_SQL = sql_match("coalesce(h.book, '') || ' ' || coalesce(h.article, '') || ' ' || substring(coalesce(h.paragraph_text, ''), 1, 600)")
@@ -26,7 +29,7 @@ _PARTS_SQL = f"""{HITS_SQL}, s AS (SELECT h.item_id, h.paragraph_id, h.rank, CAS
 
 def parts(spark, d):
     e = table(spark, d, "eval_items").select("item_id", "question", "expected_work", "source_scope", "tags")
-    h = hits(spark, d).join(F.broadcast(e), "item_id")
+    h = hits(spark, d).join(I.dimension(e), "item_id")
     text, article = F.coalesce("paragraph_text", F.lit("")), F.coalesce("article", F.lit(""))
     h = h.withColumn("hay", T.match_form(F.concat_ws(" ", F.coalesce("book", F.lit("")), article, F.substring(text, 1, 600)))).withColumn("label", T.label("article"))
     title = F.when(F.col("expected_work").isNull(), 0).otherwise(
@@ -59,7 +62,7 @@ def total():
 )
 def t01(spark, d):
     s = parts(spark, d).withColumn("score", total().cast("long"))
-    return R.top_k(s, ["item_id"], [F.desc("score"), F.asc("rank")], 1 << 30, "position").select("item_id", "paragraph_id", "score", "position")
+    return R.ranked(s, ["item_id"], [F.desc("score"), F.asc("rank")], "position").select("item_id", "paragraph_id", "score", "position")
 
 
 @query("t02_score_parts", f"WITH {_PARTS_SQL} SELECT item_id, paragraph_id, source_part, page_part, article_part, query_part FROM s")
@@ -72,18 +75,13 @@ def t03(spark, d):
     return parts(spark, d).filter("topic_part > 0").select("item_id", "paragraph_id", "topic_part")
 
 
-_MERGED_SQL = f"""{HITS_SQL}, dense AS (SELECT item_id, paragraph_id, rank FROM hits WHERE rank <= 12), sparse AS (SELECT * FROM (SELECT item_id, paragraph_id, row_number() OVER (PARTITION BY item_id ORDER BY length(coalesce(paragraph_text, '')) DESC, paragraph_id) AS rank FROM hits) WHERE rank <= 8),
+_MERGED_SQL = f"""{HITS_SQL}, {CHANNELS_SQL},
   m AS (SELECT coalesce(a.item_id, b.item_id) AS item_id, coalesce(a.paragraph_id, b.paragraph_id) AS paragraph_id, a.rank AS dr, b.rank AS sr, round(coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce((CASE WHEN a.rank IS NOT NULL THEN 1.15::DOUBLE ELSE 0.72::DOUBLE END) / (55 + b.rank), 0), 6) AS rrf
   FROM dense a FULL JOIN sparse b ON a.item_id = b.item_id AND a.paragraph_id = b.paragraph_id)"""
 
 
 def merged(spark, d):
-    from stratalex.operators.joins import hybrid_merge
-
-    h = hits(spark, d)
-    dense = h.filter("rank <= 12").select("item_id", "paragraph_id", "rank")
-    sparse = R.top_k(h.select("item_id", "paragraph_id", F.length(F.coalesce("paragraph_text", F.lit(""))).alias("n")), ["item_id"], [F.desc("n"), F.asc("paragraph_id")], 8)
-    return hybrid_merge(dense, sparse, "item_id", "paragraph_id")
+    return J.hybrid_merge(title_channel(spark, d), text_channel(spark, d, 8), "item_id", "paragraph_id")
 
 
 @query(
@@ -106,7 +104,7 @@ def t04(spark, d):
 def t05(spark, d):
     tags = table(spark, d, "eval_items").select("item_id", F.explode("tags").alias("tag"))
     p = F.instr(F.coalesce("paragraph_text", F.lit("")), F.col("tag"))
-    x = hits(spark, d).join(F.broadcast(tags), "item_id").select("item_id", "paragraph_id", p.alias("p"))
+    x = hits(spark, d).join(I.dimension(tags), "item_id").select("item_id", "paragraph_id", p.alias("p"))
     return x.groupBy("item_id", "paragraph_id").agg(F.sum(F.when(F.col("p") == 0, 0).when(F.col("p") <= 120, 95).when(F.col("p") <= 260, 72).otherwise(30)).alias("focus"))
 
 
@@ -120,7 +118,7 @@ def t06(spark, d):
 def t07(spark, d):
     p = parts(spark, d).withColumn("tier", F.when(F.col("topic_part") >= 24, 0).when(F.col("topic_part") > 0, 1).otherwise(2))
     s = hits(spark, d).select("item_id", "paragraph_id", "source", T.label("article").alias("article"))
-    ranked = R.top_k(p.select("item_id", "paragraph_id", "tier", "rank"), ["item_id"], [F.asc("tier"), F.asc("rank")], 1 << 30, "order")
+    ranked = R.ranked(p.select("item_id", "paragraph_id", "tier", "rank"), ["item_id"], [F.asc("tier"), F.asc("rank")], "order")
     return R.diversify(ranked.join(s, ["item_id", "paragraph_id"]), "item_id", "order", "source", "article", 6, 3, 2)
 
 
@@ -131,7 +129,7 @@ def t07(spark, d):
 def t08(spark, d):
     m = merged(spark, d).join(narrow(spark, d, "source"), "paragraph_id").withColumn("prio", P.family_rank("source", ["^qb", "^xj"]))
     order = [F.asc("prio"), F.coalesce("dense_rank", F.lit(9999)).asc(), F.coalesce("sparse_rank", F.lit(9999)).asc(), F.asc("paragraph_id")]
-    return R.top_k(m, ["item_id"], order, 1 << 30, "position").select("item_id", "paragraph_id", "position")
+    return R.ranked(m, ["item_id"], order, "position").select("item_id", "paragraph_id", "position")
 
 
 @query(
@@ -150,7 +148,7 @@ def t09b(spark, d):
     return R.cell_neighbours(e, "vec_id", "embedding", e.filter("vec_id % 20 = 0"), 10)
 
 
-_LISTS_SQL = f"{HITS_SQL}, l AS (SELECT item_id, paragraph_id, rank, 'dense' AS channel FROM hits WHERE rank <= 12 UNION ALL SELECT item_id, paragraph_id, sr, 'sparse' FROM (SELECT item_id, paragraph_id, row_number() OVER (PARTITION BY item_id ORDER BY length(coalesce(paragraph_text, '')) DESC, paragraph_id) AS sr FROM hits) WHERE sr <= 8)"
+_LISTS_SQL = f"{HITS_SQL}, {CHANNELS_SQL}, l AS (SELECT item_id, paragraph_id, rank, 'dense' AS channel FROM dense UNION ALL SELECT item_id, paragraph_id, rank, 'sparse' FROM sparse)"
 
 
 def lists(spark, d):
@@ -172,10 +170,7 @@ def t11(spark, d):
     return R.top_k(R.rrf(lists(spark, d), "item_id", "paragraph_id"), ["item_id"], [F.desc("score"), F.asc("best")], 12, "position").select("item_id", "paragraph_id", "score", "position")
 
 
-_BM25_SQL = f"""{R_SQL}, {BODY_SQL}, tk AS (SELECT paragraph_id, {sql_tokens('paragraph_text')} AS k FROM b), st AS (SELECT count(*) AS n, avg(len(k)) AS avgdl FROM tk), tf AS (SELECT paragraph_id, term, dl, count(*) AS tf FROM (SELECT paragraph_id, len(k) AS dl, unnest(k) AS term FROM tk) GROUP BY ALL),
-  qt AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT e.item_id, unnest({sql_tokens(ASKED_SQL)}) AS term FROM eval_items e) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf WHERE term IN (SELECT term FROM qt) GROUP BY term),
-  w AS (SELECT qt.item_id, qt.term, ln(1 + (st.n - df.df + 0.5::DOUBLE) / (df.df + 0.5::DOUBLE)) AS idf, 1 + ln(qt.qtf::DOUBLE) AS q, st.avgdl FROM qt JOIN df USING (term), st),
-  sc AS (SELECT w.item_id, tf.paragraph_id, round(sum(w.idf * w.idf * w.q * (tf.tf * 2.2::DOUBLE / (tf.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * tf.dl / w.avgdl)))), 6) AS score FROM tf JOIN w USING (term) GROUP BY ALL)"""
+_BM25_SQL = f"{R_SQL}, {BODY_SQL}, {bm25_sql('', 'b', 'paragraph_text')}"
 
 
 @query("t12_bm25_topk", f"WITH {_BM25_SQL} SELECT item_id, paragraph_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, paragraph_id) AS rank FROM sc QUALIFY rank <= 8")
@@ -192,7 +187,7 @@ def t12(spark, d):
 def t13(spark, d):
     p = R.bm25_topk(body(spark, d), "paragraph_id", "paragraph_text", questions(spark, d), "item_id", "asked", k=50).drop("rank")
     e = table(spark, d, "eval_items").select("item_id", "expected_work", "tags")
-    x = p.join(narrow(spark, d, "article", "paragraph_text"), "paragraph_id").join(F.broadcast(e), "item_id")
+    x = p.join(narrow(spark, d, "article", "paragraph_text"), "paragraph_id").join(I.dimension(e), "item_id")
     title = F.when(F.col("expected_work").isNotNull() & F.contains(T.label("article"), T.label("expected_work")), 6.0).otherwise(0.0)
     lead = 0.6 * F.size(F.filter("tags", lambda t: F.contains(F.substring("paragraph_text", 1, 300), t)))
     x = x.select("item_id", "paragraph_id", F.round(F.col("score") + title + lead, 6).alias("score"))
@@ -201,15 +196,13 @@ def t13(spark, d):
 
 @query(
     "t14_quote_index_topk",
-    f"""WITH {R_SQL}, {CIT_SQL}, qs AS (SELECT item_id, regexp_replace(quote, '[^一-鿿]+', '', 'g') AS h FROM cit WHERE ord = 0 AND item_id % 20 = 0), qg AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, length(h)), lambda i: substring(h, i, 2))) AS g FROM qs),
+    f"""WITH {R_SQL}, {CIT_SQL}, qs AS (SELECT item_id, regexp_replace(quote, '[^一-鿿]+', '', 'g') AS h FROM cit WHERE quote IS NOT NULL AND item_id % 20 = 0), qg AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, length(h)), lambda i: substring(h, i, 2))) AS g FROM qs),
   ps AS (SELECT paragraph_id, regexp_replace(paragraph_text, '[^一-鿿]+', '', 'g') AS h FROM r), pg AS (SELECT DISTINCT paragraph_id, unnest(list_transform(range(1, length(h)), lambda i: substring(h, i, 2))) AS g FROM ps), n AS (SELECT item_id, paragraph_id, count(*) AS shared FROM qg JOIN pg USING (g) GROUP BY ALL)
   SELECT item_id, paragraph_id, shared, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, paragraph_id) AS rank FROM n QUALIFY rank <= 60""",
 )
 def t14(spark, d):
-    from stratalex.operators.joins import gram_candidates
-
     q = citations(spark, d).filter("ord = 0 and item_id % 20 = 0").select("item_id", "quote")
-    return gram_candidates(narrow(spark, d, "paragraph_text"), "paragraph_id", F.col("paragraph_text"), q, "item_id", F.col("quote"), 60)
+    return J.gram_candidates(narrow(spark, d, "paragraph_text"), "paragraph_id", F.col("paragraph_text"), q, "item_id", F.col("quote"), 60)
 
 
 @query(
@@ -219,7 +212,7 @@ def t14(spark, d):
 )
 def t15(spark, d):
     c = table(spark, d, "core_classics").select("work_id", F.explode("quotes").alias("k"))
-    x = narrow(spark, d, "page_type", "paragraph_text").join(I.dimension(c), F.contains("paragraph_text", "k"))
+    x = J.containing(narrow(spark, d, "page_type", "paragraph_text").filter("paragraph_text is not null"), "paragraph_text", c, "k")
     n, p = F.length("paragraph_text"), F.instr(F.col("paragraph_text"), F.col("k"))
     rank = F.when(F.col("page_type").isin("toc", "title_page"), 4).when(F.col("page_type") != "body", 3).when(n < 80, 2).when(p / n < 0.15, 1).otherwise(0)
     return x.select("paragraph_id", "work_id", rank.alias("quality")).distinct()
@@ -287,7 +280,7 @@ def t21(spark, d):
 )
 def t22(spark, d):
     tags = table(spark, d, "eval_items").select("item_id", F.explode("tags").alias("tag"))
-    x = hits(spark, d).join(F.broadcast(tags), "item_id").groupBy("item_id", "paragraph_id", "rank").agg(
+    x = hits(spark, d).join(I.dimension(tags), "item_id").groupBy("item_id", "paragraph_id", "rank").agg(
         F.sum(F.when(F.contains(F.coalesce("paragraph_text", F.lit("")), F.col("tag")), 3).otherwise(0) + F.when(F.contains(T.label("article"), T.label("tag")), 5).otherwise(0)).alias("score")
     )
     return R.top_k(x.filter("score > 0"), ["item_id"], [F.desc("score"), F.asc("rank")], 8, "position").drop("rank")
@@ -300,7 +293,7 @@ def t22(spark, d):
 )
 def t23(spark, d):
     e = table(spark, d, "eval_items").select("item_id", "tags")
-    c = hits(spark, d).filter("rank = 1").select("item_id", "paragraph_id", F.posexplode(F.split(F.coalesce("paragraph_text", F.lit("")), "[。；！？]")).alias("pos", "clause")).join(F.broadcast(e), "item_id")
+    c = hits(spark, d).filter("rank = 1").select("item_id", "paragraph_id", F.posexplode(F.split(F.coalesce("paragraph_text", F.lit("")), "[。；！？]")).alias("pos", "clause")).join(I.dimension(e), "item_id")
     score = F.size(F.filter("tags", lambda t: F.contains(F.col("clause"), t))) - F.when(F.length("clause") < 12, 1).otherwise(0)
     return R.first_per(c.withColumn("score", score), ["item_id"], [F.desc("score"), F.asc("pos")]).select("item_id", "paragraph_id", "pos", "clause")
 
@@ -312,7 +305,7 @@ def t23(spark, d):
 )
 def t24(spark, d):
     c = citations(spark, d).select("item_id", "quote")
-    h = hits(spark, d).select("item_id", "page", "paragraph_text", "distance", "printed_page_start").join(F.broadcast(c), "item_id")
+    h = hits(spark, d).select("item_id", "page", "paragraph_text", "distance", "printed_page_start").join(I.dimension(c), "item_id")
     gain = F.when(F.contains(F.coalesce("paragraph_text", F.lit("")), F.substring("quote", 1, 4)), 2).otherwise(0) + F.when(F.col("distance") == 0, 1).otherwise(0)
     x = h.groupBy("item_id", "page").agg(F.sum(gain).alias("score"), F.max(F.col("printed_page_start").isNotNull()).alias("printed"))
     return R.first_per(x, ["item_id"], [F.desc("score"), F.desc("printed"), F.desc("page")]).select("item_id", "page", "score")

@@ -149,7 +149,7 @@ def f03(spark, d):
 
 @query("f04_source_constraint", f"WITH {R_SQL}, {CIT_SQL} SELECT paragraph_id FROM r WHERE source IN (SELECT source FROM cit)")
 def f04(spark, d):
-    return narrow(spark, d, "source").join(F.broadcast(citations(spark, d).select("source").distinct()), "source", "left_semi").select("paragraph_id")
+    return narrow(spark, d, "source").join(intervals.dimension(citations(spark, d).select("source").distinct()), "source", "left_semi").select("paragraph_id")
 
 
 @query(
@@ -306,7 +306,7 @@ def f20(spark, d):
   SELECT item_id, paragraph_id, score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, rank) <= 5""",
 )
 def f21(spark, d):
-    h = hits(spark, d).join(F.broadcast(questions(spark, d).select("item_id", "question")), "item_id")
+    h = hits(spark, d).join(intervals.dimension(questions(spark, d).select("item_id", "question")), "item_id")
     s = h.withColumn("score", T.overlap_score(T.match_form("question"), T.match_form(F.coalesce("paragraph_text", F.lit(""))))).filter("score > 0")
     return R.top_k(s, ["item_id"], [F.desc("score"), F.asc("rank")], 5, "r").select("item_id", "paragraph_id", "score")
 

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 
 from stratalex.operators import ranking as R
 from stratalex.plans import pipeline
-from stratalex.plans.base import narrow, questions
+from stratalex.plans.base import body, narrow, questions
 from stratalex.plans.catalog import query
-from stratalex.plans.q_aggregates import body
 from stratalex.plans.q_ranking import _BM25_SQL
 from stratalex.session import ensure_checkpoint_dir, table
 from stratalex.sources import writers as W

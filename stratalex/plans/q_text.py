@@ -11,11 +11,12 @@ from stratalex.functions import text as T
 from stratalex.functions.text import BLANKS, HAN, SPARSE_NOISE
 from stratalex.operators import cleaning as C
 from stratalex.operators import intervals as I
+from stratalex.operators import joins as J
 from stratalex.operators import ranking as R
 from stratalex.operators import segments as G
-from stratalex.plans.base import ASKED_SQL, CIT_SQL, ENT_SQL, HITS_SQL, R_SQL, citations, hits, narrow, questions, sq, sql_compact, sql_fold, sql_label, sql_match, sql_strip, sql_tokens
+from stratalex.plans.base import ASKED_SQL, BODY_SQL, CIT_SQL, ENT_SQL, HITS_SQL, R_SQL, body, citations, hits, narrow, questions, sq, sql_compact, sql_fold, sql_label, sql_match, sql_strip, sql_tokens
 from stratalex.plans.catalog import query
-from stratalex.plans.q_aggregates import _CHUNK_SQL, BODY_SQL, body
+from stratalex.plans.q_aggregates import _CHUNK_SQL
 from stratalex.session import table
 
 _TEXT = "coalesce(paragraph_text, '')"
@@ -96,16 +97,17 @@ def h10(spark, d):
 
 @query("h12_fuzzy_windows", None)
 def h12(spark, d):
-    c = citations(spark, d).filter("item_id % 20 = 0").select("item_id", T.match_form("quote").alias("q"))
+    c = citations(spark, d).select("item_id", T.match_form("quote").alias("q")).filter(F.length("q") > 0)
     h = hits(spark, d).select("item_id", "paragraph_id", T.match_form(F.coalesce("paragraph_text", F.lit(""))).alias("t"))
-    return h.join(F.broadcast(c), "item_id").select("item_id", "paragraph_id", M.fuzzy_score(F.col("q"), F.col("t")).alias("score"))
+    x = h.join(I.dimension(c), "item_id").withColumn("score", M.fuzzy_score(F.col("q"), F.col("t")))
+    return x.groupBy("item_id", "paragraph_id").agg(F.max("score").alias("score"), F.max(F.col("score") >= M.FUZZY_LEAST).alias("matched"))
 
 
 @query("h13_block_coverage", None)
 def h13(spark, d):
     c = citations(spark, d).select("item_id", T.match_form("quote").alias("q"))
     h = hits(spark, d).select("item_id", "paragraph_id", T.match_form(F.coalesce("paragraph_text", F.lit(""))).alias("t"))
-    x = h.join(F.broadcast(c), "item_id").withColumn("cov", M.quote_coverage("q", "t"))
+    x = h.join(I.dimension(c), "item_id").withColumn("cov", M.quote_coverage("q", "t"))
     return x.groupBy("item_id", "paragraph_id").agg(F.max("cov").alias("coverage"))
 
 
@@ -116,14 +118,14 @@ def h13(spark, d):
   SELECT item_id, paragraph_id, CAST(coalesce(list_sum(list_transform(list_filter(terms, lambda x: contains(pn, x)), lambda x: length(x) * length(x))), 0) AS BIGINT) AS score FROM g""",
 )
 def h14(spark, d):
-    h = hits(spark, d).join(F.broadcast(questions(spark, d).select("item_id", "question")), "item_id")
+    h = hits(spark, d).join(I.dimension(questions(spark, d).select("item_id", "question")), "item_id")
     return h.select("item_id", "paragraph_id", T.overlap_score(T.match_form("question"), T.match_form(F.coalesce("paragraph_text", F.lit("")))).alias("score"))
 
 
 @query("h15_snippets", None)
 def h15(spark, d):
     c = table(spark, d, "core_classics").select("work_id", F.explode("quotes").alias("q"))
-    x = narrow(spark, d, "paragraph_text").join(I.dimension(c), F.contains("paragraph_text", "q"))
+    x = J.containing(narrow(spark, d, "paragraph_text").filter("paragraph_text is not null"), "paragraph_text", c, "q")
     return x.select("paragraph_id", "work_id", M.snippet_around("paragraph_text", "q").alias("snippet"))
 
 

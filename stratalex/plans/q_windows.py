@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratalex.functions import text as T
 from stratalex.operators import aggregates as A
+from stratalex.operators import intervals as I
 from stratalex.operators import ordered as O
 from stratalex.operators import ranking as R
 from stratalex.operators import segments as G
@@ -268,7 +269,7 @@ def d08(spark, d):
     k = table(spark, d, "core_classics").select("work_id", F.explode("quotes").alias("x")).select("work_id", T.match_form("x").alias("k"))
     n = citations(spark, d).select("item_id", T.match_form("quote").alias("n"))
     held = ((F.length("k") >= 10) & F.contains("n", "k")) | ((F.length("n") >= 10) & F.contains("k", "n"))
-    return n.join(F.broadcast(k), held).select("item_id", "work_id").distinct()
+    return n.join(I.dimension(k), held).select("item_id", "work_id").distinct()
 
 
 @query(

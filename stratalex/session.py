@@ -27,10 +27,17 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared folder (spark.checkpoint.dir); only where none is set, use a local one."""
+    """Keep the cluster's shared folder (spark.checkpoint.dir); only a local session without one gets a folder of its own.
+
+    On a cluster a folder of one machine would lose the data or fail later, so a missing setting is refused.
+    """
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="stratalex-ckpt-"))
+    if sc.getCheckpointDir() is not None:
+        return
+    shared = sc.getConf().get("spark.checkpoint.dir", "")
+    if not shared and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="stratalex-ckpt-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
