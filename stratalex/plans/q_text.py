@@ -97,10 +97,10 @@ def h10(spark, d):
 
 @query("h12_fuzzy_windows", None)
 def h12(spark, d):
-    c = citations(spark, d).select("item_id", T.match_form("quote").alias("q")).filter(F.length("q") > 0)
+    c = citations(spark, d).select("item_id", T.match_form("quote").alias("q"))
     h = hits(spark, d).select("item_id", "paragraph_id", T.match_form(F.coalesce("paragraph_text", F.lit(""))).alias("t"))
     x = h.join(I.dimension(c), "item_id").withColumn("score", M.fuzzy_score(F.col("q"), F.col("t")))
-    return x.groupBy("item_id", "paragraph_id").agg(F.max("score").alias("score"), F.max(F.col("score") >= M.FUZZY_LEAST).alias("matched"))
+    return x.groupBy("item_id", "paragraph_id").agg(F.round(F.max("score"), 6).alias("score"), F.max(F.col("score") >= M.FUZZY_LEAST).alias("matched"))
 
 
 @query("h13_block_coverage", None)
