@@ -152,9 +152,8 @@ _LISTS_SQL = f"{HITS_SQL}, {CHANNELS_SQL}, l AS (SELECT item_id, paragraph_id, r
 
 
 def lists(spark, d):
-    m = merged(spark, d)
-    one = m.filter("dense_rank is not null").select("item_id", "paragraph_id", F.col("dense_rank").alias("rank"), F.lit("dense").alias("channel"))
-    return one.unionByName(m.filter("sparse_rank is not null").select("item_id", "paragraph_id", F.col("sparse_rank").alias("rank"), F.lit("sparse").alias("channel")))
+    one = title_channel(spark, d).select("item_id", "paragraph_id", "rank", F.lit("dense").alias("channel"))
+    return one.unionByName(text_channel(spark, d, 8).select("item_id", "paragraph_id", "rank", F.lit("sparse").alias("channel")))
 
 
 @query("t10_server_hybrid", f"WITH {_LISTS_SQL} SELECT item_id, paragraph_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, CAST(count(DISTINCT channel) AS BIGINT) AS lists FROM l GROUP BY ALL")

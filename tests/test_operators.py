@@ -16,6 +16,7 @@ from stratalex.operators import citing, filters, intervals, joins, ordered, sour
 from stratalex.operators import models as Mo
 from stratalex.operators import ranking as R
 from stratalex.operators import segments as G
+from stratalex.session import cut
 
 
 def one(spark, value, f, kind="string"):
@@ -126,6 +127,27 @@ def test_bm25_by_hand(spark):
         assert (want == 0 and (1, k) not in got) or abs(got[(1, k)] - want) < 1e-5
 
 
+def test_plain_tokens_are_those_of_the_jvm(spark):
+    texts = ["资本论 Das KAPITAL ２０２６ Ａb", "一", "一二三，四五x六", "İK ﬁ é ß", "", "。"]
+    got = {r["t"]: list(r["k"]) for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.tokens("t").alias("k")).collect()}
+    assert got == {t: T.plain_tokens(t) for t in texts}
+
+
+def test_bm25_keeps_only_numbers_of_question_terms(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(R, "cut", lambda df: kept.append(df) or cut(df))
+    docs = [("a", "猫猫狗 cat"), ("a", "猫猫狗 cat"), ("a", "dog cat"), ("b", "cat"), ("c", None), ("d", "cat")]
+    df = spark.createDataFrame(docs, "id string, t string")
+    q = spark.createDataFrame([(1, "cat 猫狗"), (2, "fish"), (3, "dog dog")], "q int, x string")
+    got = R.bm25_topk(df, "id", "t", q, "q", "x", k=2).collect()
+    assert all(t != "string" for x in kept for n, t in x.dtypes if n != "id")
+    # five texts; b and d tie and the lesser key stays, the two texts of a add up
+    assert [(r["q"], r["id"], r["rank"]) for r in sorted(got)] == [(1, "a", 1), (1, "b", 2), (3, "a", 1)]
+    assert sorted(got) == sorted(R.bm25_topk(df.distinct().repartition(3), "id", "t", q, "q", "x", k=2).collect())
+    monkeypatch.setattr(R, "PAIRS_AT_ONCE", 1)
+    assert sorted(got) == sorted(R.bm25_topk(df, "id", "t", q, "q", "x", k=2).collect())
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(8, 16))
