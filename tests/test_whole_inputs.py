@@ -32,3 +32,8 @@ def test_quote_ratio_of_a_damaged_quote():
     for text in (quote, "前" * 90 + quote[:60] + "口口口" + quote[64:] + "后" * 70, "别的" * 300, quote[:20]):
         assert M.quote_ratio(quote, text) == plain(quote, text)
     assert M.quote_ratio("四字不足"[:4], "四字不足") == 0.0
+
+
+def test_server_hybrid_lists_are_not_joined(spark):
+    plan = catalog.queries()["t10_server_hybrid"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FullOuter" not in plan and plan.count("Union") == 1
