@@ -11,11 +11,12 @@ Evidence is summed for each document; it is cut where the sum is above zero.
    in which whole texts end (_WHOLE_LINE); a form that looks the same when cut (_OPEN_LINE) speaks against one, and is
    overruled by a spike.
 3. The corpus. Values cut in transfer have no common length. Their last sign and last word are held against all
-   documents: how often the sign ends texts and how often it stands inside them (at SAMPLES places of every text), and
-   how often the word stands as a whole word and how often it only begins longer ones.
+   documents: how often the sign ends texts and how often it stands at any other place of them, and how often the word
+   stands as a whole word and how often it only begins longer ones.
 
-All of it is column expressions, partial aggregations on (source, length), sign and word, and joins back; no Python. The
-words of the corpus are counted with map-side sums; only documents with an open end are joined to them.
+All of it is column expressions, partial aggregations on (source, length), sign and word, and joins back; only the signs
+of the texts are counted in Python. The signs and words of the corpus are counted with map-side sums; only documents with
+an open end are joined to the words.
 
 Defined cases: null, empty and blank texts are never cut; a null source is a source of its own; repeated documents count
 each; extra columns are ignored; a last line longer than END_REACH is no form of an ending.
@@ -23,17 +24,17 @@ each; extra columns are ignored; a last line longer than END_REACH is no form of
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalex.llm.common import cut
+from stratalex.llm.common import arrow_map, cut
 
 #: A length is a spike at so many values, and at so many times the mean of the lengths around it.
 SPIKE_LEAST, SPIKE_TIMES, SPIKE_REACH = 5, 5.0, 25
 #: The part of open ends at a limit, and the most that is taken for the usual part of a source.
 OPEN_AT_LIMIT, OPEN_USUAL = 0.9, 0.5
-#: Places of each text at which its signs are counted.
-SAMPLES = 16
 #: Evidence of: an open end, a last line that may be whole, a closed end, a spike; and bounds of that of sign and word.
 OPEN, DOUBTFUL, CLOSED, SPIKE, SIGN_MOST, WORD_MOST = 3.0, -3.0, -20.0, 6.0, 2.0, 3.0
 #: Code points at the end of a text in which every form of an ending lies.
@@ -117,17 +118,25 @@ def ending(text: Column) -> tuple[Column, Column, Column]:
     return unclosed & ~maybe, unclosed & maybe, bare
 
 
-def sign_evidence(t: DataFrame, ends: int, places: int) -> DataFrame:
-    """(sign, sign_score): how much a last sign speaks for a cut, from its counts inside and at the end of all texts.
+def sign_evidence(t: DataFrame) -> DataFrame:
+    """(sign, sign_score): how much a last sign speaks for a cut, from its counts at the end and at all other places of all
+    texts. There are at most as many rows as code points."""
 
-    ends, places: how many texts and how many places in texts there are. There are at most as many rows as code points.
-    """
+    def counted(columns):
+        # the texts of a batch one by one, so that none of them is copied
+        n: Counter = Counter()
+        for x in columns["t"]:
+            n.update(x)
+        yield {"sign": list(n), "n": list(n.values())}
+
+    whole = Window.partitionBy()
     last = t.select(F.right(_tail(F.col("t")), F.lit(1)).alias("sign")).groupBy("sign").agg(F.count("*").alias("at_end"))
-    n = F.length("t")
-    inside = t.filter(n >= 2).select(F.explode(F.array(*[F.substring("t", F.floor(n * (2 * i + 1) / (2 * SAMPLES)).cast("int") + 1, F.lit(1)) for i in range(SAMPLES)])).alias("sign"))
-    inside = inside.filter(~F.col("sign").rlike("(?U)\\s")).groupBy("sign").agg(F.count("*").alias("inside"))
-    both = last.filter(F.length("sign") > 0).join(inside, "sign", "left").withColumn("inside", F.coalesce("inside", F.lit(0)))
-    score = F.log((F.col("inside") + 1.0) / (places + 1.0)) - F.log((F.col("at_end") + 1.0) / (ends + 1.0))
+    last = last.withColumn("ends", F.sum("at_end").over(whole)).filter(F.length("sign") > 0)
+    every = arrow_map(t.filter(F.length("t") > 0).select("t"), counted, "sign string, n long").groupBy("sign").agg(F.sum("n").alias("n"))
+    both = last.join(every.withColumn("all", F.sum("n").over(whole)), "sign")
+    # each end is one place of its sign
+    inside, places = F.col("n") - F.col("at_end"), F.col("all") - F.sum("at_end").over(whole)
+    score = F.log((inside + 1.0) / (places + 1.0)) - F.log((F.col("at_end") + 1.0) / (F.col("ends") + 1.0))
     return both.select("sign", F.greatest(F.lit(-SIGN_MOST), F.least(F.lit(SIGN_MOST), score)).alias("sign_score"))
 
 
@@ -160,7 +169,6 @@ def truncated(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
         F.when(certain | doubtful, F.lower(F.regexp_extract(bare, "([\\p{Lu}\\p{Ll}]{2,})$", 1))).alias("word"),
     )
     seen = cut(seen)  # small columns, so that texts are read for the endings once
-    sizes = seen.agg(F.count("*").alias("ends"), (F.count_if(F.col("n_chars") >= 2) * SAMPLES).alias("places")).first()
     opened = F.sum((F.col("open") > 0).cast("int")).alias("n_open")
     lengths = seen.groupBy("source", "n_chars", "n_bytes").agg(F.count("*").alias("n"), opened)
     sums = (F.sum("n").alias("n"), F.sum("n_open").alias("n_open"))
@@ -174,7 +182,7 @@ def truncated(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     words = word_evidence(t, seen.filter("word <> ''").select("word"))
     # rows without a word spread over many keys that no word has
     none = F.concat(F.lit("0"), F.pmod(F.xxhash64("k"), F.lit(1024)))
-    out = out.join(F.broadcast(sign_evidence(t, sizes["ends"], sizes["places"])), "sign", "left")
+    out = out.join(F.broadcast(sign_evidence(t)), "sign", "left")
     out = out.withColumn("word", F.when(F.col("word") != "", F.col("word")).otherwise(none)).join(words, "word", "left")
     kind = F.when(F.col("l1").isNotNull(), "char_limit").when(F.col("l2").isNotNull(), "byte_limit").otherwise("transfer")
     form = F.when(F.col("open") == 2, OPEN).when(F.col("open") == 1, DOUBTFUL).otherwise(CLOSED)

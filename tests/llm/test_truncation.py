@@ -1,3 +1,4 @@
+import math
 import random
 
 from stratalex.llm import truncation as m
@@ -29,3 +30,11 @@ def test_limits_are_found(spark):
     share = {r["source"]: (r["n_documents"], r["n_cut"]) for r in m.share_by_source(out).collect()}
     assert share["a"][0] == 321 and share["a"][1] >= 21
     assert m.share_by_source(m.truncated(df.limit(0), "id", "t", "s")).count() == 0
+
+
+def test_signs_are_counted_at_every_place(spark):
+    texts = ["甲" * 50 + "乙" + "丙" * 49, "丙" * 9 + "乙", "乙丙", "丙", "", None, "  "]
+    got = {r["sign"]: r["sign_score"] for r in m.sign_evidence(spark.createDataFrame([(t,) for t in texts], "t string")).collect()}
+    places = 100 + 10 + 2 + 1 + 2 - 4
+    want = {sign: math.log((inside + 1) / (places + 1)) - math.log((ends + 1) / (len(texts) + 1)) for sign, inside, ends in (("乙", 2, 1), ("丙", 48 + 9, 3))}
+    assert {k: round(v, 9) for k, v in got.items()} == {k: round(max(-m.SIGN_MOST, min(m.SIGN_MOST, v)), 9) for k, v in want.items()}
