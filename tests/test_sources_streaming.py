@@ -122,3 +122,25 @@ def test_streamed_last_good_is_that_of_the_batch(spark):
 def test_checked_statistics_cover_all_sources(spark):
     got = catalog.queries()["s19_checked_statistics"](spark, SF).first()
     assert got["n"] == body(spark, SF).count()
+
+
+def test_segments_give_the_ranking_of_the_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "SEGMENT_TOKENS", 3)
+    rows = [("a", "猫猫狗 cat"), ("a", "猫猫狗 cat"), ("a", "dog cat"), ("a", "cat fish"), ("b", "cat cat cat"), ("c", None), ("d", "dog " * 300 + "cat"), (None, "cat")]
+    docs = spark.createDataFrame(rows, "id string, t string")
+    q = spark.createDataFrame([(1, "cat 猫狗"), (2, "bird"), (3, "dog dog cat")], "q int, x string")
+    for at, buckets in (("one", 1), ("three", 3)):
+        path = str(tmp_path / at)
+        writers.write_index(docs, "id", "t", path, buckets)
+        for k in (2, 8):
+            want = sorted(tuple(r) for r in R.bm25_topk(docs.fillna("", ["id"]), "id", "t", q, "q", "x", k).collect())
+            assert sorted((r[0], r[1] or "", *r[2:]) for r in writers.search_index(spark, path, "id", q, "q", "x", k).collect()) == want
+        meta = writers.read_index(spark, path, docs.distinct())[2]
+        assert meta["n"] == 7
+
+
+def test_packed_numbers_come_back():
+    values = [0, 1, 127, 128, 300, 16383, 16384, 2**21, 2**28 - 1, 2**28, 2**31 - 1, 5]
+    raw, sizes = writers._packed(writers.np.array(values))
+    assert writers._unpacked(raw.tobytes()).tolist() == values and sizes.sum() == len(raw)
+    assert writers._unpacked(b"").tolist() == []
