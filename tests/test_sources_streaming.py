@@ -144,3 +144,10 @@ def test_packed_numbers_come_back():
     raw, sizes = writers._packed(writers.np.array(values))
     assert writers._unpacked(raw.tobytes()).tolist() == values and sizes.sum() == len(raw)
     assert writers._unpacked(b"").tolist() == []
+
+
+def test_repeated_rows_are_the_same_corpus(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "cat"), ("b", None)], "id string, t string")
+    writers.write_index(docs.union(docs), "id", "t", str(tmp_path / "ix"))
+    meta = writers.read_index(spark, str(tmp_path / "ix"), docs)[2]
+    assert meta["n"] == 2 and meta["avgdl"] == 0.5
