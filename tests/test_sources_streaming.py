@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from stratalex.operators import joins as J
 from stratalex.operators import ranking as R
 from stratalex.plans import catalog, pipeline
 from stratalex.plans.q_aggregates import body
@@ -100,6 +101,42 @@ def test_staged_build(spark, tmp_path):
         pipeline.build(spark, spark.read.parquet(f"{SF}/records.parquet"), target)
 
 
+def shuffled_bytes(spark):
+    store = spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return store.executorSummary("driver").totalShuffleWrite()
+
+
+def test_staged_build_moves_repeated_rows_only(spark, tmp_path, monkeypatch):
+    records = spark.read.parquet(f"{SF}/records.parquet")
+    wanted = records.select("paragraph_id").distinct().count()
+    # texts that do not shrink
+    big = records.withColumn("paragraph_text", F.concat("paragraph_text", *[F.sha2(F.concat("paragraph_id", F.lit(str(i))), 512) for i in range(40)]))
+    big.write.parquet(str(tmp_path / "in"))
+    big = spark.read.parquet(str(tmp_path / "in"))
+    monkeypatch.setattr(pipeline.W, "write_index", lambda docs, key, text, path: docs.select(F.col(key).alias("term")).write.parquet(f"{path}/terms"))
+    before = shuffled_bytes(spark)
+    n = pipeline.build(spark, big, str(tmp_path / "build"))
+    assert n["records"] == wanted
+    assert shuffled_bytes(spark) - before < 0.2 * sum(p.stat().st_size for p in (tmp_path / "in").glob("*.parquet"))
+    for stage in ("records", "issues", "chunks"):
+        assert list((tmp_path / "build" / stage).glob("*.zstd.parquet"))
+
+
+def test_once_is_one_row_of_each_key(spark, monkeypatch):
+    rows = [("a", 1), ("a", 1), ("b", 2), (None, 3), (None, 3), ("", 4), ("c", 5), ("c", 5), ("c", 5)]
+    df = spark.createDataFrame(rows, "id string, n int")
+    want = sorted(set(rows), key=str)
+    assert sorted(map(tuple, J.once(df, "id").collect()), key=str) == want
+    alone, others = J.split_repeated(df, "id")
+    assert sorted(map(tuple, alone.collect())) == [("", 4), ("b", 2)] and others.count() == 7
+    monkeypatch.setattr(J, "REPEATED_KEYS", 2)
+    alone, others = J.split_repeated(df, "id")
+    assert alone.isEmpty() and others.count() == len(rows)
+    assert sorted(map(tuple, J.once(df, "id").collect()), key=str) == want
+    assert J.once(df.limit(0), "id").isEmpty()
+
+
 def test_stream_windows_are_those_of_the_batch(spark):
     d = "/root/testdata/sf0.01"
     once = spark.read.parquet(f"{d}/request_metrics.parquet").dropDuplicates(["request_id"])
