@@ -123,6 +123,13 @@ def test_staged_build_moves_repeated_rows_only(spark, tmp_path, monkeypatch):
         assert list((tmp_path / "build" / stage).glob("*.zstd.parquet"))
 
 
+def test_audit_folds_each_title_and_text_once(spark):
+    df = spark.read.parquet(f"{SF}/records.parquet")
+    plan = pipeline.A.audit(df, ["目录", "注释"], ["Ã"], ["paragraph"], ["toc"], ["x"])._jdf.queryExecution().optimizedPlan().toString()
+    # the title's form for both rules of pollution and for that of unknown titles; no text is rewritten to see whether it is blank
+    assert plan.count("regexp_replace(coalesce(article") == 3 and "regexp_replace(coalesce(paragraph_text" not in plan
+
+
 def test_once_is_one_row_of_each_key(spark, monkeypatch):
     rows = [("a", 1), ("a", 1), ("b", 2), (None, 3), (None, 3), ("", 4), ("c", 5), ("c", 5), ("c", 5)]
     df = spark.createDataFrame(rows, "id string, n int")
