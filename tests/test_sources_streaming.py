@@ -195,3 +195,21 @@ def test_repeated_rows_are_the_same_corpus(spark, tmp_path):
     writers.write_index(docs.union(docs), "id", "t", str(tmp_path / "ix"))
     meta = writers.read_index(spark, str(tmp_path / "ix"), docs)[2]
     assert meta["n"] == 2 and meta["avgdl"] == 0.5
+
+
+@pytest.mark.parametrize("most", [10, 10_000])
+def test_texts_of_many_repeated_keys_move_once(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(writers.I, "DIMENSION_ROWS", 10)
+    monkeypatch.setattr(J, "REPEATED_KEYS", most)
+    texts = spark.range(500).select(F.col("id").cast("string").alias("id"), F.concat(*[F.sha2(F.concat("id", F.lit(f"-{i}")), 512) for i in range(20)]).alias("t"))
+    path = str(tmp_path / "in")
+    texts.union(texts).write.parquet(path)
+    before = shuffled_bytes(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        writers._by_key(spark.read.parquet(path), "id", "t").write.parquet(str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    got = spark.read.parquet(str(tmp_path / "out")).select("id", F.size("texts").alias("n")).collect()
+    assert sorted((r["id"], r["n"]) for r in got) == sorted((str(i), 1) for i in range(500))
+    assert shuffled_bytes(spark) - before < 1.3 * sum(p.stat().st_size for p in (tmp_path / "in").glob("*.parquet"))
